@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from groundmill.llm import near
+from groundmill.llm import near, truncation
 
-MODULES = [near]
+MODULES = [near, truncation]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
