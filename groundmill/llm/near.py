@@ -1,6 +1,6 @@
 """Problem 3: near-duplicate records, by an inverted join over signature coordinates.
 
-A text's signature has ``coordinates`` MinHash values over its runs of ``words`` words. Each text is posted under each
+A text's signature has ``coordinates`` coordinates over its runs of ``words`` words, each of ``WIDTH`` MinHash values. Each text is posted under each
 (coordinate, value) pair. Two texts that agree on at least ``matches`` coordinates are candidates; texts whose
 resemblance is the threshold fall short of that with a probability of at most ``miss``. The join counts collisions
 without merging long lists: of each text's postings, up to ``matches - 1`` that are common over the corpus are skipped,
@@ -29,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundmill.functions.text import strip
+from groundmill.functions.text import WS
 from groundmill.llm.words import WORD, Hasher, mix, runs, seeds, segment_minima, word_runs
 from groundmill.session import table, written
 
 #: Common postings known to every task: at most so many, 16 bytes each.
 COMMON_LIMIT = 65_536
 #: A posting is common from so many texts on.
-COMMON_FROM = 16
+COMMON_FROM = 64
+#: MinHash values joined in one coordinate. A run of words that many texts have is often the least by itself, but seldom
+#: twice with the same partner, so the lists of postings stay short as the corpus grows.
+WIDTH = 2
 #: Rows of one key that meet in one task; longer lists are split.
 BLOCK = 2_000
 #: Classes whose texts are found by a broadcast list of their hashes (8 bytes each); beyond it, by a shuffled join.
@@ -71,11 +74,11 @@ def _signatures(texts: list[str], k: int, coordinates: int, hasher: Hasher) -> t
     if not len(has):
         return has, np.empty((0, coordinates), dtype=_U)
     every = runs(hasher.words([w for ws in words for w in ws]), k)
-    out = np.empty((len(has), coordinates), dtype=_U)
+    out = np.zeros((len(has), coordinates), dtype=_U)
     starts, ends = first[has], first[has] + size[has] - k + 1
     with np.errstate(over="ignore"):
-        for c, s in enumerate(seeds(coordinates)):
-            out[:, c] = segment_minima((every ^ s) * (s | _U(1)), starts, ends)
+        for c, s in enumerate(seeds(coordinates * WIDTH)):
+            out[:, c // WIDTH] = mix(out[:, c // WIDTH] * _U(WIDTH + 1) + segment_minima((every ^ s) * (s | _U(1)), starts, ends))
     return has, out
 
 
@@ -183,10 +186,10 @@ def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None
     at least ``similarity`` (of pairs that just reach it a share of up to ``miss`` stays unseen, of closer ones far
     less); copies are in ``members``, not expanded.
     """
-    matches = match_threshold(coordinates, similarity, miss)
+    matches = match_threshold(coordinates, similarity**WIDTH, miss)
     scope = F.coalesce(F.col(scope_col).cast("string"), F.lit("")) if scope_col else F.lit("")
     base = df.select(scope.alias("scope"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = base.where(F.col("id").isNotNull() & (strip(F.col("text")) != "")).withColumn("cls", F.xxhash64("scope", "text")).withColumn("salt", F.xxhash64("scope"))
+    base = base.where(F.col("id").isNotNull() & F.col("text").rlike(f"[^{WS}]")).withColumn("cls", F.xxhash64("scope", "text")).withColumn("salt", F.xxhash64("scope"))
     signed = written(_signed(base, words, coordinates), "signatures")
     members = base.select("scope", "id", "cls").distinct().join(signed.select("cls"), "cls", "left_semi")
     met = pairs_within(_postings(signed, matches, _common(signed)), ["posting"], "cls", F.col("blocks"), ("skipped",))
