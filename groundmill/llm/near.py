@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundmill.functions.text import WS
-from groundmill.llm.words import WORD, Hasher, mix, runs, seeds, segment_minima, word_runs
+from groundmill.llm.words import WORD, Hasher, mix, runs, seeds, segment_minima
 from groundmill.session import table, written
 
 #: Common postings known to every task: at most so many, 16 bytes each.
@@ -44,6 +44,7 @@ WIDTH = 2
 BLOCK = 2_000
 #: Classes whose texts are found by a broadcast list of their hashes (8 bytes each); beyond it, by a shuffled join.
 LISTED_CLASSES = 2_000_000
+UNITS = {"words": WORD.findall, "chars": list}
 _U = np.uint64
 
 
@@ -65,9 +66,9 @@ def match_threshold(coordinates: int, similarity: float, miss: float) -> int:
     return max(1, m)
 
 
-def _signatures(texts: list[str], k: int, coordinates: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the texts that have a run of k words, and their signatures (one row each)."""
-    words = [WORD.findall(t.lower()) for t in texts]
+def _signatures(texts: list[str], k: int, coordinates: int, hasher: Hasher, units: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the texts that have a run of k units, and their signatures (one row each)."""
+    words = [UNITS[units](t.lower()) for t in texts]
     size = np.array([len(w) for w in words], dtype=np.int64)
     first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
     has = np.flatnonzero(size >= k)
@@ -82,7 +83,7 @@ def _signatures(texts: list[str], k: int, coordinates: int, hasher: Hasher) -> t
     return has, out
 
 
-def _signed(texts: DataFrame, words: int, coordinates: int) -> DataFrame:
+def _signed(texts: DataFrame, words: int, coordinates: int, units: str) -> DataFrame:
     """cls and signature of each class, once. Copies within a batch are signed once, those across batches folded after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def _signed(texts: DataFrame, words: int, coordinates: int) -> DataFrame:
         for batch in batches:
             first = {c: i for i, c in enumerate(batch.column(0).to_pylist())}
             rows = batch.take(pa.array(sorted(first.values()), pa.int64()))
-            has, signature = _signatures(rows.column(1).to_pylist(), words, coordinates, hasher)
+            has, signature = _signatures(rows.column(1).to_pylist(), words, coordinates, hasher, units)
             salt = rows.column(2).to_numpy(zero_copy_only=False)[has]
             flat = pa.array((signature.view(np.int64) ^ salt[:, None]).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, coordinates, dtype=np.int32)), flat)
@@ -160,12 +161,12 @@ def pairs_within(df: DataFrame, keys: list[str], item: str, blocks: Column, carr
     return side("a").join(side("b"), [*keys, "x", "y"]).where(apart).drop("x", "y", "__block_a", "__block_b")
 
 
-def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, words: int, similarity: float, units: str) -> DataFrame:
     """Exact resemblance of the pairs' texts: shared runs divided by the runs of both together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        read = lru_cache(4_096)(lambda text: word_runs(text, words, hasher))
+        read = lru_cache(4_096)(lambda text: np.unique(runs(hasher.words(UNITS[units](text.lower())), words)))
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
             score = np.zeros(len(a))
@@ -179,8 +180,8 @@ def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(run, "cls_a bigint, cls_b bigint, similarity double")
 
 
-def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None = None, words: int = 5, similarity: float = 0.8, coordinates: int = 24, miss: float = 0.003) -> Links:
-    """Which texts resemble each other. Only texts of one scope are compared.
+def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None = None, words: int = 5, similarity: float = 0.8, coordinates: int = 24, miss: float = 0.003, units: str = "words") -> Links:
+    """Which texts resemble each other. Only texts of one scope are compared. ``units`` may be "chars" instead of words.
 
     cls is the hash of the exact text and its scope. ``links`` has each pair of different texts whose resemblance is
     at least ``similarity`` (of pairs that just reach it a share of up to ``miss`` stays unseen, of closer ones far
@@ -190,7 +191,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None
     scope = F.coalesce(F.col(scope_col).cast("string"), F.lit("")) if scope_col else F.lit("")
     base = df.select(scope.alias("scope"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = base.where(F.col("id").isNotNull() & F.col("text").rlike(f"[^{WS}]")).withColumn("cls", F.xxhash64("scope", "text")).withColumn("salt", F.xxhash64("scope"))
-    signed = written(_signed(base, words, coordinates), "signatures")
+    signed = written(_signed(base, words, coordinates, units), "signatures")
     members = base.select("scope", "id", "cls").distinct().join(signed.select("cls"), "cls", "left_semi")
     met = pairs_within(_postings(signed, matches, _common(signed)), ["posting"], "cls", F.col("blocks"), ("skipped",))
     counted = met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.first(F.greatest("skipped_a", "skipped_b")).alias("skipped"))
@@ -199,7 +200,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None
     listed = retained.count() * 2 <= LISTED_CLASSES
     texts = base.select("cls", "text").join(F.broadcast(wanted) if listed else wanted, "cls", "left_semi").dropDuplicates(["cls"])
     side = lambda s: texts.select(F.col("cls").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}"))
-    return Links(members, _verified(retained.join(side("a"), "cls_a").join(side("b"), "cls_b"), words, similarity))
+    return Links(members, _verified(retained.join(side("a"), "cls_a").join(side("b"), "cls_b"), words, similarity, units))
 
 
 def linked_ids(found: Links) -> DataFrame:

@@ -62,7 +62,3 @@ def segment_minima(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     at[0::2], at[1::2] = starts, ends
     return np.minimum.reduceat(np.append(values, _U(0xFFFFFFFFFFFFFFFF)), at)[0::2]
 
-
-def word_runs(text: str, k: int, hasher: Hasher) -> np.ndarray:
-    """The distinct runs of ``k`` words of a text, sorted."""
-    return np.unique(runs(hasher.words(WORD.findall(text.lower())), k))
