@@ -51,6 +51,9 @@ def _class(*categories: str) -> str:
 
 
 _UNSEEN = re.compile(_class("Mn", "Me", "Cf"))
+#: The usual ones of these, and whether a text has anything of a script or block where others may be.
+_USUAL_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
+_ELSEWHERE = re.compile("[\u0483-\u1dff\u2065-\u206f\u20d0-\u20ff\u2c00-\ufefe\uff00-\U0010ffff]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 
@@ -65,7 +68,9 @@ def plain_words(text: str) -> list[str]:
         text = html.unescape(text)
     text = text.casefold()
     if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+        text = _USUAL_UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+        if _ELSEWHERE.search(text):
+            text = _UNSEEN.sub("", text)
     return WORD.findall(text)
 
 
@@ -78,9 +83,10 @@ def simhash_windows(shingles: np.ndarray, weights: np.ndarray, n: int) -> np.nda
     """The SimHash of every ``n`` consecutive weighted shingles."""
     if len(shingles) < n:
         return np.empty(0, dtype=_U)
-    bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(shingles) + 1, 64), dtype=np.int32)
-    np.cumsum(np.where(bits, weights[:, None], -weights[:, None]), axis=0, out=sums[1:])
+    # Sums of 16 bits may wrap; their differences, below 2 * MOST_WEIGHT * n, are right all the same.
+    bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+    sums = np.zeros((len(shingles) + 1, 64), dtype=np.int16)
+    np.cumsum((2 * bits - 1) * weights.astype(np.int16)[:, None], axis=0, dtype=np.int16, out=sums[1:])
     return np.packbits((sums[n:] - sums[:-n]) > 0, axis=1).view(">u8").ravel().astype(_U)
 
 
@@ -95,7 +101,9 @@ class BlockIndex:
         for shift, width in self.blocks:
             key = self._key(fingerprints, shift, width)
             order = np.argsort(key, kind="stable")
-            self.sorted.append((key[order], order))
+            # Where each value of the block begins in that order, if its values can be listed; else it is searched.
+            begins = np.searchsorted(key[order], np.arange((1 << width) + 1, dtype=_U)).astype(np.int32) if width <= 16 else None
+            self.sorted.append((key[order], order.astype(np.int32), begins))
 
     @staticmethod
     def _key(fingerprints: np.ndarray, shift: int, width: int) -> np.ndarray:
@@ -104,13 +112,17 @@ class BlockIndex:
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of a query and of a fingerprint, for each two within the radius, once."""
         found = []
-        for (shift, width), (keys, order) in zip(self.blocks, self.sorted):
+        for (shift, width), (keys, order, begins) in zip(self.blocks, self.sorted):
             wanted = self._key(queries, shift, width)
-            low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-            n = high - low
-            q = np.repeat(np.arange(len(queries)), n)
-            at = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            i = order[at]
+            if begins is not None:
+                wanted = wanted.astype(np.int32)
+                low, high = begins[wanted], begins[wanted + 1]
+            else:
+                low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            has = np.flatnonzero(high > low)
+            low, n = low[has], (high - low)[has]
+            q = np.repeat(has, n)
+            i = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n - low, n)]
             close = np.bitwise_count(queries[q] ^ self.fingerprints[i]) <= self.radius
             found.append(np.stack([q[close], i[close]]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -145,23 +157,40 @@ class _Items:
         self.weights = np.concatenate(weights) if weights else np.empty((0, n), dtype=np.int32)
 
 
-def _matches(text: str, items: _Items, index: BlockIndex, hasher: Hasher, similarity: float) -> dict[int, tuple[float, int]]:
-    """By item: the best similarity of a window of the text, and the number of windows that are exact."""
-    best: dict[int, tuple[float, int]] = {}
-    words = plain_words(text)
-    n = items.window - SHINGLE + 1
-    for start in range(0, len(words) - items.window + 1, PIECE):
-        part = words[start : start + PIECE + items.window - 1]
-        shingles, weights = runs(hasher.words(part), SHINGLE), _weights(part)
-        at, item = index.near(simhash_windows(shingles, weights, n))
+def _pieces(texts: list[str], window: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts' words in pieces of about PIECE, and each word's text; a longer text goes on a window's overlap earlier."""
+    words: list[str] = []
+    of: list[np.ndarray] = []
+    for i, text in enumerate(texts):
+        own = plain_words(text)
+        for start in range(0, len(own) - window + 1, PIECE):
+            part = own[start : start + PIECE + window - 1]
+            words += part
+            of.append(np.full(len(part), i))
+            if len(words) >= PIECE:
+                yield words, np.concatenate(of)
+                words, of = [], []
+    if words:
+        yield words, np.concatenate(of)
+
+
+def _matches(texts: list[str], items: _Items, index: BlockIndex, hasher: Hasher, similarity: float) -> dict[tuple[int, int], tuple[float, int]]:
+    """By text and item: the best similarity of their windows, and the number of windows that are equal."""
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    window, n = items.window, items.window - SHINGLE + 1
+    for words, of in _pieces(texts, window):
+        shingles, weights = runs(hasher.words(words), SHINGLE), _weights(words)
+        inside = np.flatnonzero(of[: len(of) - window + 1] == of[window - 1 :])
+        at, item = index.near(simhash_windows(shingles, weights, n)[inside])
         if not len(at):
             continue
+        at = inside[at]
         own = np.lib.stride_tricks.sliding_window_view(shingles, n)
         exact = (own[at] == items.shingles[item]).all(axis=1)
         for a, i, same in zip(at.tolist(), item.tolist(), exact.tolist()):
             score = 1.0 if same else weighted_similarity(own[a], weights[a : a + n], items.shingles[i], items.weights[i])
             if score >= similarity:
-                key = int(items.ids[i])
+                key = (int(of[a]), int(items.ids[i]))
                 was = best.get(key, (0.0, 0))
                 best[key] = (max(was[0], score), was[1] + same)
     return best
@@ -187,13 +216,10 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
             own, hasher = sent.value, Hasher()
             index = BlockIndex(own.prints, radius)
             for batch in batches:
-                at, rows = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    for item, (score, n) in _matches(t, own, index, hasher, similarity).items():
-                        at.append(i)
-                        rows.append((item, score, n))
-                columns = list(zip(*rows)) if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())], names=["doc", "item", "similarity", "exact_windows"])
+                found = _matches(batch.column(1).to_pylist(), own, index, hasher, similarity)
+                at = pa.array([i for i, _ in found], pa.int64())
+                scores = [pa.array([k for _, k in found], pa.int64()), pa.array([x for x, _ in found.values()], pa.float64()), pa.array([n for _, n in found.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *scores], names=["doc", "item", "similarity", "exact_windows"])
 
         kind = source.schema["doc"].dataType.simpleString()
         return source.mapInArrow(run, f"doc {kind}, item bigint, similarity double, exact_windows bigint")
