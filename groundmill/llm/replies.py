@@ -213,15 +213,16 @@ def refusals(judged: DataFrame) -> DataFrame:
     clause = judged.select("ord", "kind", "query", F.posexplode("clauses").alias("i", "c")).select("ord", "kind", "query", "i", "c.*").where("not figures")
     first = clause.where((F.col("i") == 0) & (F.size(F.split("opening", " ")) >= 2)).withColumn("told", F.size(F.filter(F.split("opening", " "), lambda w: w != "*")))
     templates = _templates(first.where("told >= 2").select("opening", "kind", "query").distinct())
-    rooted = first.join(templates, "opening").select("ord", "query", "root", "prompts", "names")
+    rooted = written(first.join(templates, "opening").select("ord", "query", "root", "prompts", "names"), "rooted")
     # A capitalised word is the template's own if much of its prompts have it there (nouns, in German).
     own = rooted.select("root", "query", "prompts", F.explode(F.array_distinct("names")).alias("name")).groupBy("root", "name", "prompts").agg(F.countDistinct("query").alias("n")).where(F.col("n") >= OWN_WORD * F.col("prompts")).select("root", "name")
     foreign = rooted.select("ord", "root", F.explode("names").alias("name")).join(own, ["root", "name"], "left_anti").select("ord").distinct()
     by_template = rooted.select("ord").join(foreign, "ord", "left_anti")
     by_words = first.where("denies and size(names) <= 2").select("ord")
-    declined = by_template.unionByName(by_words).distinct()
+    declined = written(by_template.unionByName(by_words).distinct(), "declined")
     # Later clauses: none, or only such as recur themselves; anything else is a reply.
     later = judged.where(F.size("clauses") > 1).join(declined, "ord", "left_semi").select("ord", "kind", "query", F.posexplode("clauses").alias("i", "c")).where("i > 0").select("ord", "kind", "query", "c.*")
+    later = written(later, "later")
     recurring = later.where("not figures").groupBy("opening").agg(F.countDistinct("query").alias("prompts"), F.countDistinct("kind").alias("kinds")).where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("kinds") >= LEAST_KINDS)).select("opening")
     told = F.split("opening", " ")
     new = later.where("not figures and not denies").join(recurring, "opening", "left_anti").where((F.size("names") > 0) | (F.col("asked") >= 3) | (F.size(told) >= OPENING_WORDS))
@@ -234,6 +235,7 @@ def find_defects(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     judged = written(_judged(pairs.where("query is not null")), "judged")
     own = judged.select("ord", F.explode(F.array_compact(F.array(F.when(F.col("empty"), F.lit("empty")), F.when(F.col("copies"), F.lit("copies_question")), F.when(F.col("other"), F.lit("other_language"))))).alias("defect"))
     refused = refusals(judged).withColumn("defect", F.lit("refusal"))
+    refused = written(refused, "refused")
     truncated = judged.where("not empty").join(cut.select("ord"), "ord", "left_semi").select("ord", F.lit("truncated").alias("defect"))
     return own.unionByName(refused).unionByName(truncated).distinct()
 

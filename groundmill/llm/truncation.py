@@ -158,7 +158,9 @@ def score_cuts(df: DataFrame, keys: list[str], text_col: str, source_col: str, s
     """The key columns and ``score``: the probability that the text was cut, for every row."""
     rows = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     texts = rows.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("source", "text").distinct()
-    limits = _limits(texts)
+    # Written, as each is read by several of the steps below.
+    texts = written(texts, "texts")
+    limits = written(_limits(texts), "limits")
     at_limit = {u: (limits.where(F.col("unit") == u).select("source", F.col("length").alias(f"__{u}"), F.lit(True).alias(f"at_{u}"))) for u in ("chars", "bytes", "bare", "bare_bytes")}
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,6 +177,7 @@ def score_cuts(df: DataFrame, keys: list[str], text_col: str, source_col: str, s
     flag = F.coalesce("at_chars", "at_bytes", "at_bare", "at_bare_bytes", F.lit(False))
     closing = closing.select("source", "text", "word", flag.alias("at_limit"))
     vocabulary = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
+    vocabulary = written(vocabulary, "vocabulary")
     known = written(closing.join(vocabulary, "word", "left").select("source", "text", "at_limit", (F.coalesce("seen", F.lit(1)) - 1).alias("seen")), "closing")
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
