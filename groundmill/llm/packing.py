@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundmill.llm.near import near_groups, near_links
 from groundmill.llm.tokens import RANKS, tokenizer
 from groundmill.session import table, written
 
@@ -113,17 +114,26 @@ def sizes(df: DataFrame, columns: list[str], text_col: str, ranks: str = RANKS)
     return source.mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, capacity: int, cluster_col: str | None = None, ranks: str = RANKS, group_items: int = GROUP_ITEMS) -> DataFrame:
+def near_clusters(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, cluster: the group of near-duplicates (five words, a resemblance of 0.8) of each id that has others in it."""
+    groups = near_groups(near_links(df, id_col, text_col)).where("group_size > 1")
+    return groups.groupBy(F.col("id").alias(id_col)).agg(F.min(F.xxhash64(F.col("group_id").cast("string"))).alias("cluster"))
+
+
+def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, capacity: int, clusters: DataFrame | None = None, ranks: str = RANKS, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Every row's pieces and their contexts: id, piece, token_start, token_end, n_tokens of the text, context.
 
-    ``cluster_col`` names the duplicate cluster of each row; without it, texts of the same words are a cluster.
+    ``clusters`` (id, cluster) has the duplicate clusters; a text that is in none clusters with those of the same words.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(source_col).cast("string")).alias("hashed"), F.col(source_col).isNull().alias("unsourced"), (F.xxhash64(F.col(cluster_col).cast("string")) if cluster_col else F.lit(None).cast("bigint")).alias("cluster"))
-    sized = sizes(named, ["id", "hashed", "unsourced", "cluster"], "text", ranks)
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(source_col).cast("string")).alias("hashed"), F.col(source_col).isNull().alias("unsourced"))
+    sized = sizes(named, ["id", "hashed", "unsourced"], "text", ranks)
     # A row of its own for each, so that repeated rows stay apart wherever they are.
-    items = written(sized.select(F.monotonically_increasing_id().alias("item"), "id", F.when(~F.col("unsourced"), F.col("hashed")).alias("source"), (F.col("cluster") if cluster_col else F.col("copy")).alias("cluster"), "n_tokens"), "sizes")
+    items = written(sized.select(F.monotonically_increasing_id().alias("item"), "id", F.when(~F.col("unsourced"), F.col("hashed")).alias("source"), F.col("copy").alias("cluster"), "n_tokens"), "sizes")
+    if clusters is not None:
+        known = clusters.select(F.col(id_col).alias("id"), F.col("cluster").alias("known"))
+        items = written(items.join(known, "id", "left").select("item", "id", "source", F.coalesce("known", "cluster").alias("cluster"), "n_tokens"), "items")
     groups = max(1, -(-items.count() // group_items))
     full, rest = F.floor(F.col("n_tokens") / capacity), F.col("n_tokens") % capacity
     left = items.where(rest > 0).select("item", rest.cast("int").alias("n"), "source", "cluster", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int").alias("group"))
@@ -139,14 +149,19 @@ def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, capacity: i
     return last.unionByName(whole).select(F.col("id").alias(id_col), "piece", "token_start", "token_end", "n_tokens", "context")
 
 
+def _packed(spark: SparkSession, sf_dir: str, capacity: int) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pack(documents, "doc_id", "text", "article_id", capacity, near_clusters(documents, "doc_id", "text"))
+
+
 def p5_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of 2 048 tokens of each document."""
-    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", "article_id", 2_048)
+    """The context of 2 048 tokens of each document; near-duplicates never share one."""
+    return _packed(spark, sf_dir, 2_048)
 
 
 def p5_contexts_512(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of 512 tokens of each document."""
-    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", "article_id", 512)
+    """The context of 512 tokens of each document; near-duplicates never share one."""
+    return _packed(spark, sf_dir, 512)
 
 
 def p5_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
