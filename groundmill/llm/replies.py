@@ -145,10 +145,11 @@ def other_language(answer: str, query: str) -> bool:
 
 
 def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, int]]:
-    """By clause: its opening with the prompt's words and with names masked, the names that are not the prompt's, whether
+    """By clause: its opening with the prompt's words (but function words) and with names masked, the names that are not the prompt's, whether
     it has figures that are not the prompt's or is an item of a list, whether it says that there is no answer (quotations
     apart), and how many of the prompt's words it has."""
     own = set(words(query))
+    telling = own - _FUNCTION.keys()
     out = []
     for part in _CLAUSE.split(core(answer)[0].replace("’", "'")):
         tokens = WORD.findall(part)
@@ -158,7 +159,7 @@ def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, i
         names: list[str] = []
         for i, t in enumerate(tokens):
             mask = t.lower()
-            if mask in own:
+            if mask in telling or mask in own and i and t[0].isupper() and len(t) > 1:
                 mask = "*"
             elif i and t[0].isupper() and len(t) > 1:
                 names.append(t)
@@ -166,7 +167,7 @@ def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, i
             if mask != "*" or not masked or masked[-1] != mask:
                 masked.append(mask)
         figures = bool(_ITEM.match(part)) or any(t.lower() not in own and any(c.isdigit() for c in t) for t in tokens)
-        out.append((" ".join(masked[:OPENING_WORDS]), names, figures, bool(_NO_ANSWER.search(_QUOTED.sub(" ", part))), len(own.intersection(t.lower() for t in tokens))))
+        out.append((" ".join(masked[:OPENING_WORDS]), names, figures, bool(_NO_ANSWER.search(_QUOTED.sub(" ", part))), len(telling.intersection(t.lower() for t in tokens))))
     return out
 
 
