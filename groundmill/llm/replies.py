@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from groundmill.functions.text import strip
 from groundmill.llm.near import components, near_links
-from groundmill.llm.truncation import answers, core, is_cut, score_cuts
+from groundmill.llm.truncation import core, is_cut, scored_answers
 from groundmill.llm.words import WORD
 from groundmill.session import table, written
 
@@ -37,6 +37,8 @@ LEAST_KINDS = 3
 OPENING_WORDS = 8
 #: The share of a template's prompts in which a capitalised word must stand to be the template's own.
 OWN_WORD = 0.4
+#: Stands for a quotation of the prompt's (a letter that texts hardly have).
+TITLE = "\ua66e"
 
 # What stands in for content that is missing.
 PLACEHOLDERS = frozenset({"null", "none", "nil", "nan", "na", "n a", "blank", "empty", "answer", "response", "output", "placeholder", "undefined", "missing", "tbd", "todo"})
@@ -151,7 +153,9 @@ def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, i
     own = set(words(query))
     telling = own - _FUNCTION.keys()
     out = []
-    for part in _CLAUSE.split(core(answer)[0].replace("’", "'")):
+    # A quotation that the prompt has, such as a title, is masked as one.
+    known = lambda m: TITLE if own.issuperset(words(m[0])) else m[0]
+    for part in _CLAUSE.split(_QUOTED.sub(known, core(answer)[0].replace("’", "'"))):
         tokens = WORD.findall(part)
         if not tokens:
             continue
@@ -159,7 +163,7 @@ def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, i
         names: list[str] = []
         for i, t in enumerate(tokens):
             mask = t.lower()
-            if mask in telling or mask in own and i and t[0].isupper() and len(t) > 1:
+            if mask == TITLE or mask in telling or mask in own and i and t[0].isupper() and len(t) > 1:
                 mask = "*"
             elif i and t[0].isupper() and len(t) > 1:
                 names.append(t)
@@ -171,7 +175,13 @@ def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, i
     return out
 
 
-JUDGED = "ord bigint, kind string, query string, empty boolean, copies boolean, other boolean, clauses array<struct<opening: string, names: array<string>, figures: boolean, denies: boolean, asked: int>>"
+def gives_back_whole(answer: str, query: str) -> bool:
+    """Ends with the whole query, or with the label of a reply: a copy that is not cut off."""
+    a, q = words(answer), words(query)
+    return a[-len(q) :] == q or bool(_REPLY.search(answer)) and not words(answer[list(_REPLY.finditer(answer))[-1].end() :])
+
+
+JUDGED = "ord bigint, kind string, query string, empty boolean, whole boolean, copies boolean, other boolean, clauses array<struct<opening: string, names: array<string>, figures: boolean, denies: boolean, asked: int>>"
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
@@ -180,17 +190,18 @@ def _judged(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for query, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 empty = is_empty(answer)
                 copy = not empty and copies(answer, query)
                 rows[0].append(next(iter(words(query)), ""))
                 rows[1].append(empty)
-                rows[2].append(copy)
-                rows[3].append(not empty and not copy and other_language(answer, query))
-                rows[4].append([dict(zip(("opening", "names", "figures", "denies", "asked"), c)) for c in clauses(answer, query)] if not empty and not copy else [])
-            arrays = [batch.column(0), pa.array(rows[0], pa.string()), batch.column(1), *(pa.array(r, pa.bool_()) for r in rows[1:4]), pa.array(rows[4], clause_type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["ord", "kind", "query", "empty", "copies", "other", "clauses"])
+                rows[2].append(copy and gives_back_whole(answer, query))
+                rows[3].append(copy)
+                rows[4].append(not empty and not copy and other_language(answer, query))
+                rows[5].append([dict(zip(("opening", "names", "figures", "denies", "asked"), c)) for c in clauses(answer, query)] if not empty and not copy else [])
+            arrays = [batch.column(0), pa.array(rows[0], pa.string()), batch.column(1), *(pa.array(r, pa.bool_()) for r in rows[1:5]), pa.array(rows[5], clause_type)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["ord", "kind", "query", "empty", "whole", "copies", "other", "clauses"])
 
     return pairs.select("ord", "query", "answer").mapInArrow(run, JUDGED)
 
@@ -237,7 +248,7 @@ def find_defects(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     own = judged.select("ord", F.explode(F.array_compact(F.array(F.when(F.col("empty"), F.lit("empty")), F.when(F.col("copies"), F.lit("copies_question")), F.when(F.col("other"), F.lit("other_language"))))).alias("defect"))
     refused = refusals(judged).withColumn("defect", F.lit("refusal"))
     refused = written(refused, "refused")
-    truncated = judged.where("not empty").join(cut.select("ord"), "ord", "left_semi").select("ord", F.lit("truncated").alias("defect"))
+    truncated = judged.where("not empty and not whole").join(cut.select("ord"), "ord", "left_semi").select("ord", F.lit("truncated").alias("defect"))
     return own.unionByName(refused).unionByName(truncated).distinct()
 
 
@@ -250,7 +261,7 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = written(pairs_of(spark, sf_dir), "pairs")
-    scored = score_cuts(answers(spark, sf_dir), ["tbl", "ord"], "answer", "tbl").where((F.col("tbl") == "phase1_gen_sample100") & is_cut(F.col("score")))
+    scored = scored_answers(spark, sf_dir, ["tbl", "ord"]).where((F.col("tbl") == "phase1_gen_sample100") & is_cut(F.col("score")))
     return find_defects(pairs, scored)
 
 

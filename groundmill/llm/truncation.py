@@ -82,6 +82,8 @@ def features(text: str, seen: int, at_limit: bool) -> list[str]:
     open_quote = bare.count('"') % 2 == 1 or bare.count("“") > bare.count("”")
     open_bracket = bare.count("(") > bare.count(")") or bare.count("[") > bare.count("]")
     before = final[-2].lower() if len(final) > 1 else ""
+    if len(_WORD.findall(bare[:200])) <= 4 and not (marked or at_limit or open_quote or open_bracket):
+        return ["short"]  # nothing tells a cut from a whole one here
     out = [
         f"end={ending}",
         f"end={ending},marked={marked},limit={at_limit}",
@@ -91,6 +93,7 @@ def features(text: str, seen: int, at_limit: bool) -> list[str]:
         f"item={item},known={known}",
         f"open={open_quote},{open_bracket}",
         f"open={open_quote},{open_bracket},item={item}",
+        f"item={item},open={open_quote or open_bracket},marked={marked},limit={at_limit}",
         f"shape={shape},known={known},end={ending}",
         f"shape={shape},known={known},item={item},several={several},long={long}",
         f"several={several},long={long},end={ending},item={item}",
@@ -154,8 +157,11 @@ def _map(df: DataFrame, columns: list[str], schema: str, fn) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def score_cuts(df: DataFrame, keys: list[str], text_col: str, source_col: str, sample: int = SAMPLE) -> DataFrame:
-    """The key columns and ``score``: the probability that the text was cut, for every row."""
+def score_cuts(df: DataFrame, keys: list[str], text_col: str, source_col: str, sample: int = SAMPLE, whole: DataFrame | None = None) -> DataFrame:
+    """The key columns and ``score``: the probability that the text was cut, for every row.
+
+    ``whole`` (text) has further texts that are known to be whole, for the model to learn from; at most ``sample``.
+    """
     rows = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     texts = rows.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("source", "text").distinct()
     # Written, as each is read by several of the steps below.
@@ -185,7 +191,7 @@ def score_cuts(df: DataFrame, keys: list[str], text_col: str, source_col: str, s
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(described, pa.list_(pa.string()))], names=["source", "text", "features"])
 
     described = _map(known, ["source", "text", "at_limit", "seen"], "source string, text string, features array<string>", describe)
-    model = _fitted(known, vocabulary, limits, sample)
+    model = _fitted(known, vocabulary, limits, sample, whole)
     hashing = HashingTF(numFeatures=DIMENSIONS, inputCol="features", outputCol="hashed", binary=True)
     if model is None:
         scored = described.select("source", "text", F.lit(0.0).alias("score"))
@@ -195,7 +201,7 @@ def score_cuts(df: DataFrame, keys: list[str], text_col: str, source_col: str, s
     return out.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _fitted(known: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample: int):
+def _fitted(known: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample: int, whole: DataFrame | None):
     """The regression, fitted on whole texts and on their artificial cuts; None if there are none to learn from."""
     at = [r.length for r in limits.where("unit = 'chars'").select("length").distinct().orderBy("length").limit(100).collect()]
     bounded = known.orderBy(F.xxhash64("text"), "text").limit(sample)
@@ -208,7 +214,8 @@ def _fitted(known: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
             rows.append((text, 0.0, closing_word(core(text)[0]), 1, False))
             bare = text.rstrip()
             if bare.endswith("?") and not _SENTENCE.search(bare):
-                rows.append((bare[:-1], 0.0, closing_word(bare), 1, False))
+                # Rare as such, so each counts several times.
+                rows += [(bare[:-1], 0.0, closing_word(bare), 1, False)] * 6
             own = {w.lower() for w in _WORD.findall(text)}
             for cut in _cuts(text, at, 2):
                 word = closing_word(core(cut)[0])
@@ -219,6 +226,16 @@ def _fitted(known: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
 
     labelled = _map(bounded, ["text", "at_limit"], "text string, label double, word string, own int, at_limit boolean", label)
 
+    def as_whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).to_pylist()
+        n = len(texts)
+        columns = [pa.array(texts, pa.string()), pa.array([0.0] * n, pa.float64()), pa.array([closing_word(core(t)[0]) for t in texts], pa.string()), pa.array([0] * n, pa.int32()), pa.array([False] * n, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["text", "label", "word", "own", "at_limit"])
+
+    if whole is not None:
+        others = whole.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
+        labelled = labelled.unionByName(_map(others, ["text"], "text string, label double, word string, own int, at_limit boolean", as_whole))
+
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         described = [features(t, s, a) for t, s, a in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(described, pa.list_(pa.string()))], names=["label", "features"])
@@ -237,17 +254,23 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(five)
 
 
+def scored_answers(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """The scores of all answers. The examples' queries are whole texts, which some answers give back."""
+    queries = table(spark, sf_dir, "examples").select(F.col("query").alias("text"))
+    return score_cuts(answers(spark, sf_dir), keys, "answer", "tbl", whole=queries)
+
+
 def is_cut(score: Column) -> Column:
     return score >= THRESHOLD
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_cuts(answers(spark, sf_dir), ["tbl", "ord"], "answer", "tbl").where(is_cut(F.col("score"))).select("tbl", "ord")
+    return scored_answers(spark, sf_dir, ["tbl", "ord"]).where(is_cut(F.col("score"))).select("tbl", "ord")
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of cut answers per model (phase 1) and per mode (phase 5)."""
-    scored = score_cuts(answers(spark, sf_dir), ["tbl", "source", "ord"], "answer", "tbl")
+    scored = scored_answers(spark, sf_dir, ["tbl", "source", "ord"])
     counts = scored.groupBy("tbl", "source").agg(F.count("*").alias("answers"), F.count_if(is_cut(F.col("score"))).alias("cut"))
     return counts.withColumn("share", F.col("cut") / F.col("answers"))
 
