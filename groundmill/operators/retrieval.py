@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundmill.functions.text import tokens
@@ -29,6 +30,30 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
     return Index(postings, terms, stats)
 
 
+def save_index(index: Index, path: str) -> None:
+    """Three tables; postings lie by term, so that a query's terms are found by their files' statistics."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in Index._fields))
+
+
+def ensure_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> Index:
+    """The saved index if it is of as many documents and tokens as these have, else a new one, saved."""
+    fresh = build_index(docs, id_col, text_col)
+    try:
+        saved = load_index(docs.sparkSession, path)
+        if saved.stats.first() == fresh.stats.first():
+            return saved
+    except AnalysisException:
+        pass
+    save_index(fresh, path)
+    return load_index(docs.sparkSession, path)
+
+
 def search(index: Index, queries: DataFrame, query_id: str, query_text: str, top: int = 50, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score, rank for each query's best ``top`` documents; ties by id.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from groundmill.functions.picks import present, truthy, worded
 from groundmill.functions.text import NEGATION_CUES, STOPWORDS, WS, entities, filled, key_of, keywords, negated, numbers, safe_name, strip, tokens
-from groundmill.operators import chunking, claims, contexts, ingest, reports, retrieval
+from groundmill.operators import chunking, claims, contexts, ingest, prompts, reports, retrieval
 from groundmill.session import table
+from groundmill.streaming import arrivals
 
 SEED, SCHEDULE = 42, "clean:0.34,mixed:0.33,toxic:0.33"
 POOL = 1_000
@@ -486,3 +487,37 @@ def pseudo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.pseudo_documents(once.where(F.coalesce(filled(F.col("gold_answer")), filled(F.col("query"))).isNotNull()), "example_id", ["gold_answer", "query"])
 
 
+
+
+_FLAT = "coalesce(array_to_string(list_transform(list_filter(contexts, lambda c: c.text IS NOT NULL), lambda c: c.text), chr(10) || chr(10)), '')"
+
+
+def _prompt_sql(mode: str) -> str:
+    instruction = prompts.MODES[mode].replace("'", "''")
+    return f"""'{instruction}' || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || chr(10) || 'Context:' || chr(10) || {_FLAT} || chr(10) || chr(10) || 'Answer:'"""
+
+
+@query(f"SELECT ord, md5({_prompt_sql('base')}) AS base_md5, md5({_prompt_sql('selective_refusal')}) AS refusal_md5, length({_prompt_sql('base')}) AS n_chars FROM mixed_contexts")
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of both modes for each mixed row."""
+    base, refusal = (prompts.prompt(F.col("question"), F.col("contexts"), mode) for mode in prompts.MODES)
+    return table(spark, sf_dir, "mixed_contexts").select("ord", F.md5(base).alias("base_md5"), F.md5(refusal).alias("refusal_md5"), F.length(base).alias("n_chars"))
+
+
+@query(f"""SELECT ord, {_strip("CASE WHEN strpos(answer, 'Answer:') > 0 THEN substr(answer, strpos(answer, 'Answer:') + 7) ELSE answer END")} AS answer FROM phase1_gen_sample100""")
+def answers_after_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each completion has after the first mark."""
+    return table(spark, sf_dir, "phase1_gen_sample100").select("ord", prompts.after_mark(F.col("answer")).alias("answer"))
+
+
+@query(f"""SELECT ord, claim_id FROM mixed_contexts WHERE contexts IS NULL OR len(contexts) <> 6 OR len(list_filter(contexts, lambda c: c IS NULL OR coalesce({_strip('c.text')}, '') = '')) > 0""")
+def invalid_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed rows that do not have six contexts with text."""
+    return prompts.invalid_contexts(table(spark, sf_dir, "mixed_contexts"), "contexts", 6).select("ord", "claim_id")
+
+
+@query("""SELECT CAST(created_at AS DATE) AS day, coalesce(dataset_id, 'none') AS dataset_id, count(*) AS records,
+count(*) FILTER (WHERE fetched_at > created_at + INTERVAL 1 DAY) AS late FROM raw_examples WHERE created_at IS NOT NULL GROUP BY ALL""")
+def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records by the day they were made, and how many came late."""
+    return arrivals.arrivals_by_day(table(spark, sf_dir, "raw_examples"), "dataset_id", "created_at", "fetched_at")
