@@ -245,3 +245,24 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_items": p6_items}
+
+
+def _words_sql(text: str) -> str:
+    """The words of a text as the operator reads them, as far as SQL can: JSON escapes of Latin letters only."""
+    for code in range(0xA0, 0x180):
+        text = f"replace({text}, '\\u{code:04x}', '{chr(code)}')"
+    for code in "nrt":
+        text = f"replace({text}, '\\{code}', ' ')"
+    unseen = "[\\p{Mn}\\p{Me}\\p{Cf}]+"
+    return f"regexp_extract_all(regexp_replace(strip_accents(lower({text})), '{unseen}', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _runs_sql(source: str, key: str) -> str:
+    return f"(SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM (SELECT {key}, {_words_sql('text')} AS w FROM {source} WHERE text IS NOT NULL)))"
+
+
+_FOUND_SQL = f"SELECT DISTINCT doc_id, item_id FROM {_runs_sql('documents', 'doc_id')} JOIN {_runs_sql('eval_items', 'item_id')} USING (run)"
+ORACLES = {
+    "p6_found": _FOUND_SQL,
+    "p6_items": f"SELECT item_id, dataset, split, coalesce(documents, 0) AS documents FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS documents FROM ({_FOUND_SQL}) GROUP BY item_id) USING (item_id)",
+}

@@ -266,3 +266,12 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+ORACLES = {
+    "p3_found": f"""WITH t AS (SELECT tbl, id, text, row_number() OVER () AS k FROM (SELECT DISTINCT * FROM (
+  SELECT 'passages' AS tbl, passage_id AS id, text FROM passages UNION ALL SELECT 'candidate_docs', doc_id, text FROM candidate_docs)) WHERE id IS NOT NULL AND regexp_matches(text, '[^{WS}]')),
+w AS (SELECT tbl, id, k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
+s AS (SELECT DISTINCT tbl, id, k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.tbl, a.id AS x, b.id AS y, a.k AS p, b.k AS q, count(*) AS shared FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.k < b.k AND a.id <> b.id GROUP BY ALL)
+SELECT DISTINCT tbl, least(x, y) AS id_a, greatest(x, y) AS id_b FROM c JOIN n a ON a.k = p JOIN n b ON b.k = q WHERE shared >= 0.6 * (a.n + b.n - shared)"""
+}

@@ -1,6 +1,6 @@
 """Problem 5: texts into training contexts of a fixed capacity, by conflict-constrained best fit.
 
-Items are taken from the largest to the smallest. Bins are kept by what they have left; each carries a bitmap of the
+Items are taken from the largest to the smallest (those of a cluster that has most of a context count come before). Bins are kept by what they have left; each carries a bitmap of the
 sources and one of the duplicate clusters it holds. The search for an item starts at the bin with the least room that is
 enough and goes on to the next larger until one is compatible: without the item's cluster, and without its source. If
 none is, a second search minds the clusters only (two texts of one source may share a context rather than leave room),
@@ -91,7 +91,11 @@ def _bits(values: pd.Series) -> list[int]:
 
 def pack_group(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """item, bin of one group; items has item, n, source, cluster (n from 1 to the capacity)."""
-    items = items.sort_values(["n", "item"], ascending=[False, True], kind="stable")
+    # A cluster with more texts than the items fill contexts decides how many there are: its texts come first, one to a
+    # context, and the others fill these up.
+    contexts = items["n"].sum() / capacity
+    first = items.groupby("cluster")["item"].transform("size").fillna(0) * 2 > contexts
+    items = items.assign(first=first & items["cluster"].notna() & (len(items) > 2)).sort_values(["first", "n", "item"], ascending=[False, False, True], kind="stable")
     bins = Bins(capacity)
     at = [bins.put(n, c, s) for n, c, s in zip(items["n"].tolist(), _bits(items["cluster"]), _bits(items["source"]))]
     return pd.DataFrame({"item": items["item"].to_numpy(), "bin": at})

@@ -58,6 +58,12 @@ def test_a_source_in_a_third_of_the_rows_leaves_no_room(spark):
     assert len({r["context"] for r in out}) <= 1.03 * sum(r["token_end"] - r["token_start"] for r in out) / 256 + 1
 
 
+def test_a_cluster_in_a_third_of_the_rows_needs_a_context_each_and_no_more(spark):
+    rows = [(i, words(4, "same") if i % 3 == 0 else words(random.randint(2, 12), f"k{i}"), None) for i in range(600)]
+    out = packed(spark, rows, 128)
+    assert 200 <= len({r["context"] for r in out}) <= 206
+
+
 def test_named_clusters_are_kept_apart(spark):
     rows = [(i, words(3, f"k{i}"), None) for i in range(20)]
     clusters = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, cluster bigint")
