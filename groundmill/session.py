@@ -20,8 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/groundmill-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors.
+
+    The table stays for as long as a result may still be read from it; see :func:`discard_written`.
+    """
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_written(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder, once its results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
