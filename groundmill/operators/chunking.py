@@ -34,6 +34,20 @@ def passages_of(docs: DataFrame, dataset_col: str, doc_col: str, text_col: str,
     return windows.select(F.format_string("%s::%s::chunk%d", "dataset", "doc_id", "chunk_index").alias("passage_id"), "doc_id", F.col("chunk").alias("text"), "n_tokens")
 
 
+def corpus_of(examples: DataFrame, id_col: str, docs_col: str, fallback_cols: list[str], dataset: Column, size: int = 384, overlap: int = 64) -> DataFrame:
+    """Passages of the examples' documents; an example without any gives one of its first filled column.
+
+    A document without an id has its position in the list as id; the fallback's id is that of its example.
+    """
+    text = lambda d: filled(d["text"])
+    docs = examples.select(id_col, dataset.alias("dataset"), F.posexplode(docs_col).alias("pos", "d")).where(text(F.col("d")).isNotNull())
+    docs = docs.select(id_col, "dataset", F.coalesce(filled(F.col("d.doc_id")), F.col("pos").cast("string")).alias("doc_id"), F.col("d.text").alias("text"))
+    has = F.coalesce(F.exists(F.col(docs_col), lambda d: text(d).isNotNull()), F.lit(False))
+    instead = examples.where(~has).select(id_col, dataset.alias("dataset"), F.col(id_col).cast("string").alias("doc_id"), F.coalesce(*(filled(F.col(c)) for c in fallback_cols)).alias("text"))
+    passages = token_windows(docs.unionByName(instead), "text", size, overlap)
+    return passages.select(id_col, F.format_string("%s::%s::chunk%d", "dataset", "doc_id", "chunk_index").alias("passage_id"), "doc_id", F.col("chunk").alias("text"), "n_tokens")
+
+
 def external_passages(articles: DataFrame, id_col: str, title_col: str, text_col: str, source_col: str, size: int = 180, overlap: int = 30, least_chars: int = 300) -> DataFrame:
     """Passages of articles of at least ``least_chars`` characters; the article's key may be a hash."""
     keyed = articles.where(F.length(text_col) >= least_chars).select(key_of(F.col(id_col).cast("string"), F.col(title_col), F.col(text_col)).alias("key"), F.col(source_col).alias("source"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmill.functions.picks import at, present, text_at, truthy, worded
+from groundmill.functions.picks import at, present, truthy, worded
 from groundmill.functions.text import filled, not_junk
 
 # The keys, in order, under which each dataset's records carry their parts.
@@ -23,6 +23,10 @@ ANSWER_KEYS = {
 }
 CLAIM_KEYS = ["answers", "targets", "gold_answers", "answer"]
 LABEL_KEYS = ["label", "verdict"]
+ARTICLE_TEXT_KEYS = ["text", "content", "article", "body", "wikipedia_text", "wiki_text", "raw_text"]
+ARTICLE_HOMES = ["document", "doc", "page", "article"]
+ARTICLE_TITLE_KEYS = ["title", "page_title", "article_title", "name"]
+ARTICLE_ID_KEYS = ["id", "page_id", "pageid", "article_id", "doc_id", "document_id"]
 WRAPPERS = ("row", "data", "example")
 
 
@@ -91,10 +95,27 @@ def alce_samples(raw: DataFrame, id_col: str, split_col: str, payload_col: str)
     return out.where("question is not null and answer is not null")
 
 
+def article_of(v: Column) -> dict[str, Column]:
+    """id, title and text of an article record; the text may be one object deeper."""
+    text = F.coalesce(worded(v, ARTICLE_TEXT_KEYS), *(worded(at(v, k), ARTICLE_TEXT_KEYS) for k in ARTICLE_HOMES))
+    return {"id": truthy(v, ARTICLE_ID_KEYS), "title": worded(v, ARTICLE_TITLE_KEYS), "text": text}
+
+
+def merged_metadata(base: Column, extra: Column, extra_wins: bool) -> Column:
+    """Two string maps as one; of a key that both have, the extra's value counts or the base's."""
+    first, last = (base, extra) if extra_wins else (extra, base)
+    first, last = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (first, last))
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(last), k)), last)
+
+
+def claims_of(claims: Column, answers: Column, question: Column) -> Column:
+    """The claims; failing these the answers; failing these the question; null if there is nothing."""
+    full = lambda a: F.when(F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0, a)
+    return F.coalesce(full(F.filter(claims, lambda c: c.isNotNull())), full(F.filter(answers, lambda a: a.isNotNull())), F.when(filled(question).isNotNull(), F.array(question)))
+
+
 def pseudo_documents(examples: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """A document in place of missing ones: the first filled column's text, else the row as JSON."""
     text = F.coalesce(*(filled(F.col(c)) for c in text_cols), F.to_json(F.struct(*(c for c in examples.columns if c != id_col))))
     return examples.select(id_col, text.alias("text"))
 
-
-__all__ = ["alce_samples", "as_list", "asqa_samples", "examples_of", "parsed", "pseudo_documents", "text_at"]

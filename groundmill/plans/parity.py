@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundmill.functions.picks import present, truthy, worded
 from groundmill.functions.text import NEGATION_CUES, STOPWORDS, WS, entities, filled, key_of, keywords, negated, numbers, safe_name, strip, tokens
-from groundmill.operators import chunking, claims, contexts, ingest, prompts, reports, retrieval
+from groundmill.operators import chunking, claims, contexts, ingest, mixing, prompts, reports, retrieval
 from groundmill.session import table
 from groundmill.streaming import arrivals
 
@@ -145,15 +145,19 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.build_index(_corpus(spark, sf_dir), "passage_id", "text").stats
 
 
-_BM25 = f"""WITH post AS (SELECT doc_id, term, len(any_value(t)) AS length, count(*) AS tf FROM (SELECT doc_id, {_tokens('text')} AS t, unnest({_tokens('text')}) AS term FROM {_CORPUS} WHERE text IS NOT NULL) GROUP BY doc_id, term),
-stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM (SELECT {_tokens('text')} AS t FROM {_CORPUS} WHERE text IS NOT NULL) WHERE len(t) > 0),
+def _bm25_sql(corpus: str, queries: str) -> str:
+    return f"""WITH post AS (SELECT doc_id, term, len(any_value(t)) AS length, count(*) AS tf FROM (SELECT doc_id, {_tokens('text')} AS t, unnest({_tokens('text')}) AS term FROM {corpus} WHERE text IS NOT NULL) GROUP BY doc_id, term),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM (SELECT {_tokens('text')} AS t FROM {corpus} WHERE text IS NOT NULL) WHERE len(t) > 0),
 terms AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS term FROM eval_items WHERE item_id % 20 = 0),
+q AS (SELECT DISTINCT query_id, unnest({_tokens('text')}) AS term FROM {queries}),
 s AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * length / avgdl))), 6) AS score
   FROM q JOIN post USING (term) JOIN terms USING (term), stats GROUP BY query_id, doc_id)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 50"""
 
 
+_BM25 = _bm25_sql(_CORPUS, "(SELECT item_id AS query_id, text FROM eval_items WHERE item_id % 20 = 0)")
+
+
 @query(_BM25)
 def bm25_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the 50 best passages for each query. Queries are the evaluation items whose id is divisible by 20."""
@@ -187,9 +191,13 @@ def _label_sql(claim: str, text: str) -> str:
     return f"CASE WHEN {bears} AND ({_negated(text)} OR {strange}) THEN 'conflict' WHEN {bears} THEN 'support' WHEN ov >= 2 THEN 'decoy' ELSE 'irrelevant' END"
 
 
-_LABELLED = f"""SELECT claim_id, doc_id, rank, {_label_sql('claim_text', 'text')} AS label FROM (
+def _labelled_sql(candidates: str, claims_: str) -> str:
+    return f"""SELECT claim_id, doc_id, rank, {_label_sql('claim_text', 'text')} AS label FROM (
   SELECT k.claim_id, c.doc_id, c.rank, k.claim_text, c.text, len(list_intersect({_keywords('k.claim_text')}, list_distinct({_tokens('c.text')}))) AS ov,
-    len(list_intersect({_numbers('k.claim_text')}, {_numbers('c.text')})) AS shared_numbers FROM {_CANDS} c JOIN {_CLAIMS} k USING (claim_id))"""
+    len(list_intersect({_numbers('k.claim_text')}, {_numbers('c.text')})) AS shared_numbers FROM {candidates} c JOIN {claims_} k USING (claim_id))"""
+
+
+_LABELLED = _labelled_sql(_CANDS, _CLAIMS)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,9 +229,9 @@ def profile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "examples").where("example_id is not null").select("example_id").distinct().select("example_id", _profile(F.col("example_id")).alias("mix_profile"))
 
 
-def _selection_sql(k: int) -> str:
+def _selection_sql(k: int, labelled: str = _LABELLED) -> str:
     quota = " ".join(f"WHEN mix_profile = '{p}' AND label = '{name}' THEN {n}" for p in contexts.RECIPES for name, n in contexts.scaled_recipe(p, k).items())
-    return f"""WITH c AS (SELECT *, {_profile_sql("split_part(claim_id, '::', 1)")} AS mix_profile FROM ({_LABELLED})),
+    return f"""WITH c AS (SELECT *, {_profile_sql("split_part(claim_id, '::', 1)")} AS mix_profile FROM ({labelled})),
 a AS (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n, row_number() OVER (PARTITION BY claim_id ORDER BY rank, doc_id) AS place FROM c),
 b AS (SELECT *, label = 'irrelevant' AND place > floor(n * 0.6::DOUBLE) AS tail FROM a),
 d AS (SELECT *, label <> 'irrelevant' OR tail OR NOT bool_or(tail) OVER (PARTITION BY claim_id) AS eligible FROM b),
@@ -521,3 +529,43 @@ count(*) FILTER (WHERE fetched_at > created_at + INTERVAL 1 DAY) AS late FROM ra
 def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records by the day they were made, and how many came late."""
     return arrivals.arrivals_by_day(table(spark, sf_dir, "raw_examples"), "dataset_id", "created_at", "fetched_at")
+
+
+_SOME = "(SELECT claim_id, arg_max(claim_text, ord) AS claim_text FROM mixed_contexts WHERE claim_id IS NOT NULL AND claim_text IS NOT NULL AND ord % 20 = 0 GROUP BY claim_id)"
+_DOCS = "(SELECT doc_id, max(title) AS title, max(text) AS text FROM candidate_docs WHERE doc_id IS NOT NULL GROUP BY doc_id)"
+_HITS = f"(SELECT query_id AS claim_id, doc_id, rank, coalesce(text, '') AS text FROM ({_bm25_sql(_DOCS, f'(SELECT claim_id AS query_id, claim_text AS text FROM {_SOME})')}) JOIN {_DOCS} d USING (doc_id))"
+
+
+@query(f"""SELECT claim_id, position, doc_id, coalesce(title, '') AS title, md5(coalesce(text, '')) AS text_md5, label, rank, {_profile_sql("split_part(claim_id, '::', 1)")} AS mix_profile, drawn
+FROM ({_selection_sql(12, _labelled_sql(_HITS, _SOME))}) JOIN {_DOCS} d USING (doc_id)""")
+def mix_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve contexts for claims, from retrieval to texts. Queries are the claims of rows whose ord is divisible by 20."""
+    some = table(spark, sf_dir, "mixed_contexts").where("claim_id is not null and claim_text is not null and ord % 20 = 0").groupBy("claim_id").agg(F.max_by("claim_text", "ord").alias("claim_text"))
+    out = mixing.mix_contexts(some, _lookup(spark, sf_dir), seed=SEED, schedule=SCHEDULE)
+    return out.withColumn("text_md5", F.md5("text")).drop("text")
+
+
+_ONCE = "(SELECT example_id, any_value(docs) AS docs, max(gold_answer) AS gold_answer, max(query) AS query FROM examples WHERE example_id IS NOT NULL GROUP BY example_id)"
+_ALL_DOCS = f"""(SELECT example_id, split_part(example_id, '_', 1) AS dataset, coalesce({_filled('d.doc_id')}, CAST(i - 1 AS VARCHAR)) AS doc_id, d.text AS text FROM
+  (SELECT example_id, i, docs[i] AS d FROM (SELECT example_id, docs, unnest(range(1, len(docs) + 1)) AS i FROM {_ONCE})) WHERE {_filled('d.text')} IS NOT NULL
+ UNION ALL SELECT example_id, split_part(example_id, '_', 1), example_id, coalesce({_filled('gold_answer')}, {_filled('query')}) FROM {_ONCE}
+  WHERE docs IS NULL OR len(list_filter(docs, lambda d: d IS NOT NULL AND {_filled('d.text')} IS NOT NULL)) = 0)"""
+
+
+@query(f"""SELECT example_id, dataset || '::' || doc_id || '::chunk' || i AS passage_id, doc_id, md5(array_to_string(part, ' ')) AS text_md5, len(part) AS n_tokens FROM ({_windows_sql(_ALL_DOCS, 64, 16)})""")
+def corpus_of_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 64 tokens of the examples' documents, or of their answer or query where they have none."""
+    once = table(spark, sf_dir, "examples").where("example_id is not null").groupBy("example_id").agg(F.first("docs", ignorenulls=True).alias("docs"), F.max("gold_answer").alias("gold_answer"), F.max("query").alias("query"))
+    out = chunking.corpus_of(once, "example_id", "docs", ["gold_answer", "query"], F.split("example_id", "_")[0], 64, 16)
+    return out.select("example_id", "passage_id", "doc_id", F.md5("text").alias("text_md5"), "n_tokens")
+
+
+@query("""SELECT example_id, CASE WHEN len(c) > 0 THEN 'claims' WHEN a IS NOT NULL THEN 'answer' ELSE 'question' END AS source, CASE WHEN len(c) > 0 THEN len(c) ELSE 1 END AS n FROM (
+  SELECT example_id, list_filter(any_value(gold_claims), lambda x: x IS NOT NULL) AS c, max(gold_answer) AS a, max(query) AS q FROM examples WHERE example_id IS NOT NULL GROUP BY example_id)
+WHERE len(c) > 0 OR a IS NOT NULL OR trim(coalesce(q, '')) <> ''""")
+def claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the claims of each example come from, and how many there are."""
+    once = table(spark, sf_dir, "examples").where("example_id is not null").groupBy("example_id").agg(F.first("gold_claims", ignorenulls=True).alias("c"), F.max("gold_answer").alias("a"), F.max("query").alias("q"))
+    picked = once.withColumn("picked", ingest.claims_of(F.col("c"), F.when(F.col("a").isNotNull(), F.array("a")), F.col("q"))).where("picked is not null")
+    has = F.size(F.filter(F.coalesce("c", F.array().cast("array<string>")), lambda x: x.isNotNull())) > 0
+    return picked.select("example_id", F.when(has, "claims").when(F.col("a").isNotNull(), "answer").otherwise("question").alias("source"), F.size("picked").alias("n"))

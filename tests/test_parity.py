@@ -191,3 +191,27 @@ def test_samples(spark):
     df = spark.createDataFrame(rows, "rec_id int, split string, payload string")
     assert {(r.id, r.question, tuple(r.answers)) for r in ingest.asqa_samples(df, "rec_id", "split", "payload").collect()} == {(1, "q", ("L",)), (2, "q", ("s",))}
     assert {(r.qid, r.question, r.answer) for r in ingest.alce_samples(df, "rec_id", "split", "payload").collect()} == {("alce_dev_000005", "i", "o")}
+
+
+def test_articles_metadata_and_claims(spark):
+    df = spark.createDataFrame([('{"page_id": 7, "name": " N ", "page": {"content": "deep"}}',), ('{"id": 0, "title": "", "text": "flat", "page": {"text": "x"}}',), ("{}",)], "p string")
+    parts = ingest.article_of(F.try_parse_json("p"))
+    assert [tuple(r) for r in df.select(*(c.alias(k) for k, c in parts.items())).collect()] == [("7", "N", "deep"), (None, None, "flat"), (None, None, None)]
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"b": "3"}), (None, None)], "x map<string,string>, y map<string,string>")
+    merged = maps.select(ingest.merged_metadata(F.col("x"), F.col("y"), True).alias("t"), ingest.merged_metadata(F.col("x"), F.col("y"), False).alias("f")).collect()
+    assert [(r.t, r.f) for r in merged] == [({"a": "1", "b": "3"}, {"a": "1", "b": "2"}), ({"b": "3"}, {"b": "3"}), ({}, {})]
+    rows = spark.createDataFrame([(["c", None], ["a"], "q"), ([None], ["a"], "q"), (None, [], "q"), (None, None, " ")], "c array<string>, a array<string>, q string")
+    assert [r.x for r in rows.select(ingest.claims_of(F.col("c"), F.col("a"), F.col("q")).alias("x")).collect()] == [["c"], ["a"], ["q"], None]
+
+
+def test_claims_without_hits_are_backfilled_whole(spark):
+    from groundmill.operators.mixing import mix_contexts
+
+    corpus = spark.createDataFrame([(f"d{i}", f"T{i}", f"Marie Curie discovered radium, note {i}") for i in range(30)], "doc_id string, title string, text string")
+    asked = spark.createDataFrame([("q1::c0", "Marie Curie discovered radium."), ("q2::c0", "zzz"), ("q3::c0", "")], "claim_id string, claim_text string")
+    out = mix_contexts(asked, corpus, k=6).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.claim_id, []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {"q1::c0": 6, "q2::c0": 6, "q3::c0": 6}
+    assert {r.drawn for r in by["q2::c0"]} == {"backfill"} and {r.label for r in by["q3::c0"]} == {"irrelevant"} and all(r.text and r.title for r in out)
