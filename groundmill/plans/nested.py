@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundmill.functions.text import strip
+from groundmill.functions.text import WS, strip
 from groundmill.operators.inlining import Names, plan_inlining, relation_table, schema_graph, shred_column, shred_json
 from groundmill.session import table
 
@@ -134,13 +134,65 @@ def p1_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_documents": p1_documents, "p1_evidence": p1_evidence, "p1_qa_pairs": p1_qa_pairs, "p1_contexts": p1_contexts}
 
-WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def _filled_sql(x: str) -> str:
+    return f"nullif({_strip_sql(x)}, '')"
+
+
+def _first_sql(parts: list[str]) -> str:
+    return f"coalesce({', '.join(parts)})"
+
+
+def _text_at(d: str, path: str) -> str:
+    return f"CASE WHEN json_type({d}, '{path}') = 'VARCHAR' THEN {_filled_sql(f"json_extract_string({d}, '{path}')")} END"
+
+
+def _list_at(d: str, path: str) -> str:
+    return f"CASE WHEN json_type({d}, '{path}') = 'ARRAY' THEN {_filled_sql(f"array_to_string(list_filter(list_transform(json_extract_string({d}, '{path}[*]'), lambda x: {_strip_sql('x')}), lambda x: x <> ''), ' ')")} END"
+
+
+def _document_text_sql(d: str) -> str:
+    homes = ["$", *(f"$.{k}" for k in NESTED_TEXT_KEYS)]
+    return _first_sql([x for h in homes for x in (*(_text_at(d, f"{h}.{k}") for k in TEXT_KEYS), *(_list_at(d, f"{h}.{k}") for k in SENTENCE_LIST_KEYS))])
+
+
+def _records_sql(source: str, key: str, payload: str) -> str:
+    """k, v: the readable records, unwrapped."""
+    wrapped = " ".join(f"WHEN json_type(v, '$.{w}') = 'OBJECT' THEN json_extract(v, '$.{w}')" for w in ("row", "data", "example"))
+    return f"""(SELECT k, CASE {wrapped} ELSE v END AS v FROM (SELECT k, CASE WHEN json_type(p) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p, '$')) THEN json_extract_string(p, '$')::JSON END ELSE p END AS v
+  FROM (SELECT DISTINCT CAST({key} AS VARCHAR) AS k, CASE WHEN json_valid({payload}) THEN {payload}::JSON END AS p FROM {source} WHERE {key} IS NOT NULL)) WHERE json_type(v) = 'OBJECT')"""
+
+
+def _items_sql(source: str, keep: str, value: str, i: str, x: str) -> str:
+    """One row per element of a JSON array: its place and the element."""
+    return f"(SELECT {keep}, {i}, json_extract({value}, '$[' || {i} || ']') AS {x} FROM (SELECT *, unnest(range(CAST(json_array_length({value}) AS BIGINT))) AS {i} FROM {source} WHERE json_type({value}) = 'ARRAY'))"
+
+
+def _children_sql(tbl: str, records: str) -> str:
+    held = _first_sql([f"CASE WHEN json_type(v, '$.{k}') <> 'NULL' THEN json_extract(v, '$.{k}') END" for k in DOC_LIST_KEYS])
+    inner = _first_sql([f"CASE WHEN json_type(x, '$.{k}') = 'ARRAY' THEN json_extract(x, '$.{k}') END" for k in DOC_LIST_KEYS])
+    docs = f"(SELECT k, CASE WHEN json_type(x) = 'OBJECT' THEN coalesce({inner}, json_array(x)) ELSE x END AS l, x FROM (SELECT k, {held} AS x FROM {records}))"
+    ids = _first_sql([*(_filled_sql(f"json_extract_string(d, '$.{k}')") for k in ID_KEYS), "''"])
+    homes = lambda keys: " UNION ALL ".join(f"SELECT k, json_extract(v, '{h}.{key}') AS l FROM {records}" for h in ("$", "$.metadata") for key in keys)
+    entries = _items_sql(_items_sql(f"({homes(EVIDENCE_KEYS)})", "k", "l", "i", "s"), "k, i", "s", "j", "e")
+    page = f"CASE json_type(e) WHEN 'ARRAY' THEN json_extract_string(e, '$[2]') WHEN 'OBJECT' THEN {_first_sql([_filled_sql(f"json_extract_string(e, '$.{k}')") for k in ('page', 'title')])} END"
+    pairs = _items_sql(f"(SELECT k, i, json_extract(a, '$.qa_pairs') AS q FROM {_items_sql(f'({homes(("annotations",))})', 'k', 'l', 'i', 'a')})", "k, i", "q", "j", "p")
+    return f"""SELECT '{tbl}' AS tbl, k AS parent, 'doc' AS kind, CAST(i AS VARCHAR) AS child_path, {ids} AS item FROM {_items_sql(docs, 'k', 'l', 'i', 'd')} WHERE json_type(d) = 'OBJECT' AND {_document_text_sql('d')} IS NOT NULL
+UNION ALL SELECT '{tbl}', k, 'doc', '0', '' FROM {docs} WHERE json_type(x) = 'VARCHAR' AND {_filled_sql("json_extract_string(x, '$')")} IS NOT NULL
+UNION ALL SELECT '{tbl}', k, 'evidence', i || '.' || j, coalesce({_strip_sql(page)}, '') FROM {entries} WHERE json_type(e) <> 'NULL'
+UNION ALL SELECT '{tbl}', k, 'qa_pair', i || '.' || j, coalesce({_strip_sql("json_extract_string(p, '$.wikipage')")}, '') FROM {pairs} WHERE json_type(p) = 'OBJECT'"""
+
+
+_CONTEXTS_SQL = "(SELECT ord, i, contexts[i] AS c FROM (SELECT ord, contexts, unnest(range(1, len(contexts) + 1)) AS i FROM mixed_contexts))"
 ORACLES = {
-    "p1_contexts": f"""
-SELECT ord, CAST(i - 1 AS INTEGER) AS pos, c.doc_id AS doc_id, c.title AS title, c.text AS text,
-       coalesce(lower(regexp_replace(c.label, '^[{WS}]+|[{WS}]+$', '', 'g')), '') AS label, c.rank AS rank,
-       c.metadata.backfill AS metadata_backfill, c.metadata.backfill_reason AS metadata_backfill_reason,
-       c.metadata.missing_doc AS metadata_missing_doc
-FROM (SELECT ord, i, contexts[i] AS c FROM (SELECT ord, contexts, unnest(range(1, len(contexts) + 1)) AS i FROM mixed_contexts))
-WHERE c IS NOT NULL"""
+    "p1_contexts": f"""SELECT ord, CAST(i - 1 AS INTEGER) AS pos, c.doc_id AS doc_id, c.title AS title, c.text AS text, coalesce(lower({_strip_sql('c.label')}), '') AS label, c.rank AS rank,
+       c.metadata.backfill AS metadata_backfill, c.metadata.backfill_reason AS metadata_backfill_reason, c.metadata.missing_doc AS metadata_missing_doc FROM {_CONTEXTS_SQL} WHERE c IS NOT NULL""",
+    "p1_found": f"""{_children_sql('raw_examples', _records_sql('raw_examples', 'rec_id', 'payload'))}
+UNION ALL SELECT DISTINCT * FROM ({_children_sql('examples', _records_sql('examples', 'example_id', 'metadata'))})
+UNION ALL SELECT DISTINCT 'examples', example_id, 'doc', CAST(i - 1 AS VARCHAR), coalesce({_strip_sql('d.doc_id')}, '') FROM (SELECT example_id, i, docs[i] AS d FROM (SELECT example_id, docs, unnest(range(1, len(docs) + 1)) AS i FROM examples WHERE example_id IS NOT NULL)) WHERE {_filled_sql('d.text')} IS NOT NULL
+UNION ALL SELECT 'mixed_contexts', CAST(ord AS VARCHAR), 'context', CAST(i - 1 AS VARCHAR), coalesce(lower({_strip_sql('c.label')}), '') FROM {_CONTEXTS_SQL} WHERE c IS NOT NULL""",
 }
