@@ -8,6 +8,9 @@ most common first. As all texts skip by one order, what two texts share and did
 their numbers of skipped postings, so no pair is lost by skipping: it is retained when its collisions plus that number
 reach ``matches``. Retained pairs are verified by their exact resemblance.
 
+A posting travels with a sketch of its signature, five bits of each coordinate. Two sketches agree at least where the
+signatures do, so pairs of a long list that cannot reach ``matches`` end in the join and are never put out.
+
 Scale: exact copies are one class from the start, so a text that fills a third of the table is signed, posted and
 verified once. What moves is hashes; texts move only for classes in a retained pair. Lists that are long all the same
 are split into blocks that meet pairwise, each in a task of its own.
@@ -44,6 +47,8 @@ WIDTH = 2
 BLOCK = 2_000
 #: Classes whose texts are found by a broadcast list of their hashes (8 bytes each); beyond it, by a shuffled join.
 LISTED_CLASSES = 2_000_000
+#: Bits of a coordinate in the sketch that travels with a posting, and coordinates in one 64-bit part of it.
+SKETCH_BITS, SKETCH_PART = 5, 12
 UNITS = {"words": WORD.findall, "chars": list}
 _U = np.uint64
 
@@ -117,8 +122,27 @@ def _common(signed: DataFrame) -> dict[int, int]:
     return {r.posting: r.n for r in counted.orderBy(F.desc("n"), "posting").limit(COMMON_LIMIT).collect()}
 
 
-def _postings(signed: DataFrame, matches: int, common: dict[int, int]) -> DataFrame:
-    """posting, cls and how many postings of cls were skipped; block says which part of a long list the row is in."""
+def _sketch_parts(coordinates: int) -> list[str]:
+    return [f"sketch{i}" for i in range(-(-coordinates // SKETCH_PART))]
+
+
+def _most_matches(coordinates: int) -> Column:
+    """How many coordinates of sketch_a and sketch_b are equal: at least as many as those of the signatures."""
+    low = sum(1 << (SKETCH_BITS * i) for i in range(SKETCH_PART))
+    different = F.lit(0)
+    for part in _sketch_parts(coordinates):
+        x = F.col(f"{part}_a").bitwiseXOR(F.col(f"{part}_b"))
+        any_bit = x
+        for i in range(1, SKETCH_BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, i))
+        different = different + F.bit_count(any_bit.bitwiseAND(F.lit(low)))
+    return F.lit(coordinates) - different
+
+
+def _postings(signed: DataFrame, matches: int, common: dict[int, int], coordinates: int) -> DataFrame:
+    """posting, cls, how many postings of cls were skipped, the sketch of its signature, and into how many blocks the
+    posting's list is split."""
+    parts = _sketch_parts(coordinates)
     order = sorted(common.items())
     known, counts = np.array([p for p, _ in order], dtype=np.int64), np.array([n for _, n in order], dtype=np.int64)
 
@@ -140,10 +164,12 @@ def _postings(signed: DataFrame, matches: int, common: dict[int, int]) -> DataFr
             keep = place >= skipped[:, None]
             row = np.nonzero(keep)[0]
             blocks = np.maximum(1, -(-n[keep] // BLOCK)).astype(np.int32)
-            columns = [value[keep], cls[row], skipped[row].astype(np.int32), blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["posting", "cls", "skipped", "blocks"])
+            bits = value & ((1 << SKETCH_BITS) - 1)
+            sketch = [(bits[:, i : i + SKETCH_PART] << (SKETCH_BITS * np.arange(min(SKETCH_PART, value.shape[1] - i)))).sum(axis=1) for i in range(0, value.shape[1], SKETCH_PART)]
+            columns = [value[keep], cls[row], skipped[row].astype(np.int32), blocks, *(part[row] for part in sketch)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["posting", "cls", "skipped", "blocks", *parts])
 
-    return signed.select("cls", "signature").mapInArrow(run, "posting bigint, cls bigint, skipped int, blocks int")
+    return signed.select("cls", "signature").mapInArrow(run, "posting bigint, cls bigint, skipped int, blocks int, " + ", ".join(f"{p} bigint" for p in parts))
 
 
 def pairs_within(df: DataFrame, keys: list[str], item: str, blocks: Column, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -193,7 +219,8 @@ def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None
     base = base.where(F.col("id").isNotNull() & F.col("text").rlike(f"[^{WS}]")).withColumn("cls", F.xxhash64("scope", "text")).withColumn("salt", F.xxhash64("scope"))
     signed = written(_signed(base, words, coordinates, units), "signatures")
     members = base.select("scope", "id", "cls").distinct().join(signed.select("cls"), "cls", "left_semi")
-    met = pairs_within(_postings(signed, matches, _common(signed)), ["posting"], "cls", F.col("blocks"), ("skipped",))
+    postings = _postings(signed, matches, _common(signed), coordinates)
+    met = pairs_within(postings, ["posting"], "cls", F.col("blocks"), ("skipped", *_sketch_parts(coordinates))).where(_most_matches(coordinates) >= matches)
     counted = met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.first(F.greatest("skipped_a", "skipped_b")).alias("skipped"))
     retained = written(counted.where(F.col("n") + F.col("skipped") >= matches).select("cls_a", "cls_b"), "retained")
     wanted = retained.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
