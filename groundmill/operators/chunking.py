@@ -22,10 +22,15 @@ def token_windows(df: DataFrame, text_col: str, size: int, overlap: int) -> Data
     if size < 1 or overlap < 0 or step < 1:
         raise ValueError("the size must be positive, the overlap from 0 and below the size")
     rest = [c for c in df.columns if c != text_col]
-    cut = df.select(*rest, pieces(F.col(text_col)).alias("__tokens"))
-    cut = cut.select(*rest, "__tokens", F.explode(F.sequence(F.lit(0), window_count(F.size("__tokens"), size, step) - 1)).alias("chunk_index")).where("chunk_index >= 0 and size(__tokens) > 0")
-    part = F.slice("__tokens", F.col("chunk_index") * step + 1, F.lit(size))
-    return cut.select(*rest, "chunk_index", F.array_join(part, " ").alias("chunk"), F.size(part).alias("n_tokens"))
+    cut = df.select(*rest, pieces(F.col(text_col)).alias("__tokens")).where(F.size("__tokens") > 0)
+
+    def window(i: Column) -> Column:
+        part = F.slice("__tokens", i * step + 1, F.lit(size))
+        return F.struct(i.alias("chunk_index"), F.array_join(part, " ").alias("chunk"), F.size(part).alias("n_tokens"))
+
+    # Windows are made before they are exploded: a row that is exploded first would carry all its tokens into each window.
+    windows = F.transform(F.sequence(F.lit(0), window_count(F.size("__tokens"), size, step) - 1), window)
+    return cut.select(*rest, F.explode(windows).alias("__w")).select(*rest, "__w.*")
 
 
 def passages_of(docs: DataFrame, dataset_col: str, doc_col: str, text_col: str, size: int = 384, overlap: int = 64) -> DataFrame:

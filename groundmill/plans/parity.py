@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundmill.functions.picks import present, truthy, worded
 from groundmill.functions.text import NEGATION_CUES, STOPWORDS, WS, entities, filled, key_of, keywords, negated, numbers, safe_name, strip, tokens
 from groundmill.operators import chunking, claims, contexts, ingest, mixing, prompts, reports, retrieval
-from groundmill.session import table
+from groundmill.session import spread, table
 from groundmill.streaming import arrivals
 
 SEED, SCHEDULE = 42, "clean:0.34,mixed:0.33,toxic:0.33"
@@ -69,7 +69,7 @@ def _uniform(*keys: str) -> str:
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, keywords, entities, numbers and denial of each document."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(tokens(t)).alias("n_tokens"), F.size(F.array_distinct(tokens(t))).alias("n_terms"), F.size(keywords(t)).alias("n_keywords"), F.size(entities(t)).alias("n_entities"), F.size(numbers(t)).alias("n_numbers"), negated(t).alias("negated"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", F.size(tokens(t)).alias("n_tokens"), F.size(F.array_distinct(tokens(t))).alias("n_terms"), F.size(keywords(t)).alias("n_keywords"), F.size(entities(t)).alias("n_entities"), F.size(numbers(t)).alias("n_numbers"), negated(t).alias("negated"))
 
 
 def _windows_sql(source: str, size: int, overlap: int, where: str = "TRUE") -> str:
@@ -82,7 +82,7 @@ def _windows_sql(source: str, size: int, overlap: int, where: str = "TRUE") -> s
 @query(f"""SELECT coalesce(source, 'none') || '::' || doc_id || '::chunk' || i AS passage_id, CAST(doc_id AS VARCHAR) AS doc_id,
        md5(array_to_string(part, ' ')) AS text_md5, len(part) AS n_tokens FROM ({_windows_sql('documents', 384, 64)})""")
 def chunk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("dataset", F.coalesce("source", F.lit("none")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("dataset")))
     return chunking.passages_of(docs, "dataset", "doc_id", "text").select("passage_id", "doc_id", F.md5("text").alias("text_md5"), "n_tokens")
 
 
@@ -93,7 +93,7 @@ _KEY = f"""coalesce({_filled('article_id')}, CASE WHEN {_filled('title')} IS NOT
 @query(f"""SELECT {_KEY} || ':' || i AS doc_id, source, title, md5(array_to_string(part, ' ')) AS text_md5, CAST(i AS INTEGER) AS chunk_index
 FROM ({_windows_sql('documents', 180, 30, 'length(text) >= 300')})""")
 def chunk_external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunking.external_passages(table(spark, sf_dir, "documents"), "article_id", "title", "text", "source")
+    out = chunking.external_passages(spread(table(spark, sf_dir, "documents").select("article_id", "title", "text", "source")), "article_id", "title", "text", "source")
     return out.select("doc_id", "source", "title", F.md5("text").alias("text_md5"), "chunk_index")
 
 

@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs of more bytes a core than this are left as they are read.
+SMALL_A_CORE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in fewer files than there are cores, dealt over all cores; any other as it is.
+
+    For work that is heavy a row. A large input has splits enough, and moving it would cost more than it gains.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > cores * SMALL_A_CORE or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,3 +10,13 @@ def test_written_tables_are_read_back_and_discarded(spark):
     session.discard_written(spark)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_only_small_inputs_in_few_files_are_spread(spark, sf, monkeypatch):
+    one = spark.read.parquet(f"{sf}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(one).rdd.getNumPartitions() == cores and session.spread(one).count() == one.count()
+    made = spark.range(10)
+    assert session.spread(made) is made
+    monkeypatch.setattr(session, "SMALL_A_CORE", 1)
+    assert session.spread(one) is one
