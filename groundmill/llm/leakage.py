@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundmill.llm.words import WORD, Hasher, runs
-from groundmill.session import table
+from groundmill.session import spread, table
 
 WINDOW = 12
 RADIUS = 3
@@ -207,7 +207,7 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
     # An upper bound of the number of windows: words are at least a letter and a blank.
     windows = items.agg(F.coalesce(F.sum(F.length("text") / 2), F.lit(0))).collect()[0][0]
     slices = max(1, -(-int(windows) // slice_windows))
-    source = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    source = spread(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")))
 
     def held_against(part: _Items) -> DataFrame:
         sent = spark.sparkContext.broadcast(part)

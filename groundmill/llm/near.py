@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from groundmill.functions.text import WS
 from groundmill.llm.words import WORD, Hasher, mix, runs, seeds, segment_minima
-from groundmill.session import table, written
+from groundmill.session import spread, table, written
 
 #: Common postings known to every task: at most so many, 16 bytes each.
 COMMON_LIMIT = 65_536
@@ -102,7 +102,7 @@ def _signed(texts: DataFrame, words: int, coordinates: int, units: str) -> DataF
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, coordinates, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(has)), lists], names=["cls", "signature"])
 
-    return texts.select("cls", "text", "salt").mapInArrow(run, "cls bigint, signature array<bigint>").dropDuplicates(["cls"])
+    return spread(texts.select("cls", "text", "salt")).mapInArrow(run, "cls bigint, signature array<bigint>").dropDuplicates(["cls"])
 
 
 def _common(signed: DataFrame) -> dict[int, int]:

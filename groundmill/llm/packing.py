@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from groundmill.llm.near import near_groups, near_links
 from groundmill.llm.tokens import RANKS, tokenizer
-from groundmill.session import table, written
+from groundmill.session import spread, table, written
 
 GROUP_ITEMS = 10_000
 
@@ -103,7 +103,7 @@ def pack_group(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def sizes(df: DataFrame, columns: list[str], text_col: str, ranks: str = RANKS) -> DataFrame:
     """The columns, ``n_tokens``, and ``copy``: a hash of the text's words without case and spacing (null if none)."""
-    source = df.select(*columns, F.col(text_col).alias("__text"))
+    source = spread(df.select(*columns, F.col(text_col).alias("__text")))
     at = len(columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:at]) + ", n_tokens bigint, copy bigint"
 

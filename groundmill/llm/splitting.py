@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from groundmill.llm.tokens import RANKS, Tokenizer, tokenizer
 from groundmill.llm.words import WORD
-from groundmill.session import table
+from groundmill.session import spread, table
 
 #: Units (sentences) of a block on either side of a cut; hashed dimensions of its vocabulary; letters of a word that counts.
 BLOCK = 4
@@ -147,7 +147,7 @@ def split(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, r
     """Every text's pieces in order: id, piece, n_pieces, char_start, char_end, n_tokens, overlap_tokens, boundary, text."""
     if limit < 1 or overlap < 0 or 3 * overlap > limit:
         raise ValueError("the limit must be positive and at least three times the overlap")
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
+    source = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S")))
     names = ["piece", "n_pieces", "char_start", "char_end", "n_tokens", "overlap_tokens", "boundary", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
