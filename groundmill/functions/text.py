@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as the inside of a character class that Java's and RE2's patterns both read.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same for Java alone, which knows most of it as one property: a pattern starts with JAVA and has SPACE in a class.
+JAVA, SPACE = "(?U)", r"\s\x1c-\x1f"
 # Words that are no keywords, and cues that a text denies something (found anywhere, also inside words).
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "he", "her", "his", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the", "their", "they", "this", "to", "was", "were", "with", "you", "your")
 NEGATION_CUES = ("not", "never", "no evidence", "false", "untrue", "incorrect")
@@ -15,12 +17,12 @@ JUNK = ("?", "??", "???", "n/a", "na", "none", "null", "<unk>", "unknown")
 
 def strip(value: Column) -> Column:
     """Without white space at either end; null stays null."""
-    return F.regexp_replace(value, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(value, f"{JAVA}^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def collapse(value: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(value, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(value, f"{JAVA}[{SPACE}]+", " "))
 
 
 def filled(value: Column) -> Column:
@@ -36,7 +38,7 @@ def not_junk(value: Column) -> Column:
 
 def pieces(value: Column) -> Column:
     """The runs of characters between white space."""
-    return F.regexp_extract_all(value, F.lit(f"[^{WS}]+"), F.lit(0))
+    return F.regexp_extract_all(value, F.lit(f"{JAVA}[^{SPACE}]+"), F.lit(0))
 
 
 def tokens(value: Column) -> Column:
@@ -73,7 +75,7 @@ def negated(value: Column) -> Column:
 
 def sentences(value: Column, least: int) -> Column:
     """Stripped sentences of at least ``least`` characters: cut at white space after a full stop, ! or ?."""
-    cut = F.split(value, f"(?<=[.!?])[{WS}]+")
+    cut = F.split(value, f"{JAVA}(?<=[.!?])[{SPACE}]+")
     return F.filter(F.transform(cut, strip), lambda s: F.length(s) >= least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmill.functions.text import collapse, filled, key_of, pieces
+from groundmill.functions.text import WS, collapse, filled, key_of, pieces
 
 
 def window_count(n: Column, size: int, step: int) -> Column:
@@ -22,7 +22,7 @@ def token_windows(df: DataFrame, text_col: str, size: int, overlap: int) -> Data
     if size < 1 or overlap < 0 or step < 1:
         raise ValueError("the size must be positive, the overlap from 0 and below the size")
     rest = [c for c in df.columns if c != text_col]
-    cut = df.select(*rest, pieces(F.col(text_col)).alias("__tokens")).where(F.size("__tokens") > 0)
+    cut = df.where(F.col(text_col).rlike(f"[^{WS}]")).select(*rest, pieces(F.col(text_col)).alias("__tokens"))
 
     def window(i: Column) -> Column:
         part = F.slice("__tokens", i * step + 1, F.lit(size))
