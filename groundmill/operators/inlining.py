@@ -16,7 +16,7 @@ whatever their names.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -42,10 +42,15 @@ NODES = T.StructType(
 
 @dataclass(frozen=True)
 class Names:
-    """How keys become elements: ``aliases`` maps a key to its element; ``transparent`` objects are looked through."""
+    """How keys become elements: ``aliases`` maps a key to its element; ``transparent`` objects are looked through.
+
+    The fields of an object under a key in ``copied`` are the parent's too (dotted), also where it has a table of its
+    own, so that what is read there doesn't depend on the other records of the table.
+    """
 
     aliases: Mapping[str, str] = field(default_factory=dict)
     transparent: frozenset[str] = frozenset()
+    copied: frozenset[str] = frozenset()
 
     def element(self, key: str) -> str:
         return self.aliases.get(key, key)
@@ -134,9 +139,11 @@ def schema_graph(df: DataFrame, payload: str, names: Names = Names()) -> DataFra
     return found.groupBy("parent", "child", "repeated").agg(F.sum("n").alias("n"))
 
 
-def plan_inlining(graph: DataFrame, max_edges: int = 20_000) -> Plan:
+def plan_inlining(graph: DataFrame, max_edges: int = 20_000, always: Iterable[str] = ()) -> Plan:
     """The relations of shared inlining: elements that repeat, have several parents, or contain themselves.
 
+    Those in ``always`` get a table whatever the records hold.
+
     Only the schema graph comes to the driver. It is as large as the schema; keys that are really data would make it
     large, which is refused above ``max_edges``.
     """
@@ -161,7 +168,7 @@ def plan_inlining(graph: DataFrame, max_edges: int = 20_000) -> Plan:
                 todo += children.get(at, ())
         return False
 
-    why = {ROOT: "root"}
+    why = {ROOT: "root"} | dict.fromkeys(always, "asked for")
     for name in sorted(parents):
         reasons = [word for word, holds in (("repeated", name in repeated), ("shared", len(parents[name]) > 1), ("recursive", reaches_itself(name))) if holds]
         if reasons:
@@ -200,8 +207,14 @@ def _shred(value: dict, names: Names, plan: Plan) -> list[tuple]:
                     for i, x in enumerate(item):
                         if x is not None:
                             add(name, f"{at}[{i}]", home, (*ordinals, i), x)
+                elif isinstance(item, dict):
+                    add(name, at, home, ordinals, item)
+                    if key in names.copied:
+                        copy(item, f"{prefix}{key}.", fields)
                 elif not isinstance(item, list):
+                    # The node that other records need here, and the field that this parent has.
                     add(name, at, home, ordinals, item)
+                    fields[f"{prefix}{key}"] = _scalar(item)
                 elif item:
                     fields[f"{prefix}{key}"] = _scalar(item)
             elif isinstance(item, dict):
@@ -209,6 +222,13 @@ def _shred(value: dict, names: Names, plan: Plan) -> list[tuple]:
             else:
                 fields[f"{prefix}{key}"] = _scalar(item)
 
+    def copy(value: dict, prefix: str, fields: dict) -> None:
+        for key, item in value.items():
+            if key in names.transparent and isinstance(item, dict):
+                copy(item, prefix, fields)
+            elif not isinstance(item, dict) and (not isinstance(item, list) or _flat(item)):
+                fields[f"{prefix}{key}"] = _scalar(item)
+
     add(ROOT, "$", (None, None), (), value)
     return nodes
 

@@ -20,7 +20,7 @@ TITLE_KEYS = ("title", "source", "article_title", "wiki_title", "doc_title")
 ID_KEYS = ("doc_id", "id", "docid", "document_id", "passage_id", "pid", "idx")
 EVIDENCE_KEYS = ("evidence", "evidence_sentences", "evidence_sets")
 
-NAMES = Names(aliases=dict.fromkeys(DOC_LIST_KEYS, "docs") | dict.fromkeys(EVIDENCE_KEYS, "evidence"), transparent=frozenset({"row", "data", "example"}))
+NAMES = Names(aliases=dict.fromkeys(DOC_LIST_KEYS, "docs") | dict.fromkeys(EVIDENCE_KEYS, "evidence"), transparent=frozenset({"row", "data", "example"}), copied=frozenset(NESTED_TEXT_KEYS))
 RELATIONS = ["docs", "evidence_item", "qa_pairs"]
 
 
@@ -58,7 +58,7 @@ def document_id() -> Column:
 
 
 def nodes(df: DataFrame, key: str, payload: str, relations: list[str] | None = RELATIONS) -> DataFrame:
-    plan = plan_inlining(schema_graph(df, payload, NAMES))
+    plan = plan_inlining(schema_graph(df, payload, NAMES), always=RELATIONS)
     return shred_json(df, [key], payload, NAMES, plan, relations)
 
 

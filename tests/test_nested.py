@@ -123,3 +123,19 @@ def test_typed_columns_at_any_depth(spark):
     tables = shred_column(df, ["id"], "l")
     assert [tuple(r) for r in tables["l"].collect()] == [(1, [0], 1)]
     assert [tuple(r) for r in tables["l_m"].collect()] == [(1, [0, 0], "a", "x")]
+
+
+STRAYS = ['{"document": {"v": 1}, "metadata": {"doc": {"v": 1}, "passage": [{"v": 1}]}, "ctx": {"ctx": {"v": 1}}}', '{"text": [{"v": 1}], "id": {"id": {"v": 1}}, "a": {"sents": [{"v": 1}]}, "page": [{"v": 1}], "wikipage": [{"v": 1}]}']
+CASES = [
+    {"docs": [{"id": "a", "document": {"text": "one"}}, {"doc": {"content": "two"}}, {"passage": {"sents": ["three", "four"]}}, {"ctx": {"body": "five"}}, {"document": {"v": 1}}]},
+    {"passages": [{"id": "b", "text": "six"}, {"passage": "seven"}, {"sents": ["eight"]}]},
+    {"evidence": [[{"page": "p"}, ["x", "y", "z", 1]]], "annotations": [{"qa_pairs": [{"wikipage": "w"}]}]},
+]
+LONE = [{"docs": {"id": "c", "text": "nine"}}, {"docs": "ten"}]
+
+
+@pytest.mark.parametrize("payloads", [[*map(json.dumps, CASES), *STRAYS], [*map(json.dumps, CASES)], [json.dumps(LONE[0])], [json.dumps(LONE[1])], [*map(json.dumps, LONE), *STRAYS]])
+def test_children_do_not_depend_on_other_records(spark, payloads):
+    df = rows(spark, payloads)
+    got = {(r.parent, r.kind, r.child_path, r.item) for r in nested._once(nested._json_children(nested.nodes(df, "id", "payload"), "t", "id")).collect()}
+    assert got == {(str(i), *c) for i, p in enumerate(payloads) for c in children(p)} and got
