@@ -35,17 +35,25 @@ THRESHOLD = 0.5
 PILE = 4
 NEAR = 12
 LEAST_LIMIT = 64
+#: Words of a text that counts as short; what a short whole text counts, as cuts that leave so few words are rarer than
+#: the artificial ones; and what a cut inside a list's item counts, for the same reason.
+SHORT = 4
+SHORT_WHOLE = 6.0
+ITEM_CUT = 0.15
 
 # What systems leave where they cut.
 MARKS = ("…", "...", "[…]", "[...]", "[truncated]", "(more)", "<eot>", "�")
 _MARKS = re.compile(r"(?:\s|…|\.\.\.+|�|[\[(<](?:…|\.\.\.|truncated|cut|more|continued|eot|eos)[\])>])+$", re.I)
 _BLANKS = re.compile(r"\s+$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+|(?<=[。！？])[」』）]*|\n+")
+_BLANKLESS = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_UNSPACED = re.compile(f"[{_BLANKLESS}]")
+_UNIT = re.compile(rf"[{_BLANKLESS}]{{1,2}}|[^\W_{_BLANKLESS}]+(?:['’][^\W_{_BLANKLESS}]+)*")
 _ITEM = re.compile(r"\s*(?:[-*•–]|\d+[.)])\s+\S")
 _CITED = re.compile(r"(?:\[\d+\])+$")
 _LABEL = re.compile(r"(?:^|\n)\w+:$")
-_WHOLE_END = re.compile(r"[.!?。][\"”»')\]]*$")
+_WHOLE_END = re.compile(r"[.!?。！？][\"”»')\]」』）]*$")
 
 
 def core(text: str) -> tuple[str, bool]:
@@ -63,6 +71,11 @@ def _bucket(n: float, *edges: float) -> int:
     return sum(n >= e for e in edges)
 
 
+def _length(text: str) -> int:
+    """Words; in scripts without blanks, two characters count as one."""
+    return len(_UNIT.findall(text))
+
+
 def features(text: str, seen: int, at_limit: bool) -> list[str]:
     """Names of the features that hold. ``seen``: how many other texts have the closing word."""
     bare, marked = core(text)
@@ -73,7 +86,7 @@ def features(text: str, seen: int, at_limit: bool) -> list[str]:
     final = _WORD.findall(bare[-40:])
     word = final[-1] if final else ""
     end = bare[-1:]
-    ending = "none" if not end else "stop" if _WHOLE_END.search(bare) else "cited" if _CITED.search(bare) else "label" if _LABEL.search(bare) else "digit" if end.isdigit() else "lower" if end.islower() else "upper" if end.isupper() else end
+    ending = "none" if not end else "stop" if _WHOLE_END.search(bare) else "cited" if _CITED.search(bare) else "label" if _LABEL.search(bare) else "digit" if end.isdigit() else "unspaced" if _UNSPACED.match(end) else "lower" if end.islower() else "upper" if end.isupper() else end
     shape = "digits" if word.isdigit() else "name" if word[:1].isupper() else "plain"
     known = _bucket(seen, 1, 3, 10, 40)
     item = bool(_ITEM.match(lines[-1])) and ending != "stop"
@@ -82,8 +95,20 @@ def features(text: str, seen: int, at_limit: bool) -> list[str]:
     open_quote = bare.count('"') % 2 == 1 or bare.count("“") > bare.count("”")
     open_bracket = bare.count("(") > bare.count(")") or bare.count("[") > bare.count("]")
     before = final[-2].lower() if len(final) > 1 else ""
-    if len(_WORD.findall(bare[:200])) <= 4 and not (marked or at_limit or open_quote or open_bracket):
-        return ["short"]  # nothing tells a cut from a whole one here
+    length = _length(bare[:200])
+    if length <= SHORT and not (marked or at_limit or open_quote or open_bracket):
+        # Features of their own: what ends a long text as a whole one does not end a short one, and the reverse.
+        first = words[0].lower() if words else ""
+        own = [f"short,word={word.lower()},end={ending}"] if known >= 3 and not word.isdigit() else []
+        return own + [
+            f"short,item={item}",
+            f"short={length},end={ending}",
+            f"short={length},shape={shape},known={known},end={ending}",
+            f"short,shape={shape},known={known},end={ending}",
+            f"short,first={first},end={ending}",
+            f"short={length},first={first},end={ending}",
+            f"short,before={before},shape={shape},end={ending}",
+        ]
     out = [
         f"end={ending}",
         f"end={ending},marked={marked},limit={at_limit}",
@@ -97,7 +122,7 @@ def features(text: str, seen: int, at_limit: bool) -> list[str]:
         f"shape={shape},known={known},end={ending}",
         f"shape={shape},known={known},item={item},several={several},long={long}",
         f"several={several},long={long},end={ending},item={item}",
-        f"several={several},words={_bucket(len(_WORD.findall(bare[:200])), 2, 3, 4, 5, 7, 10)},end={ending}",
+        f"several={several},words={_bucket(length, 2, 3, 4, 5, 7, 10)},end={ending}",
         f"first={words[0].lower() if words else ''},several={several},end={ending}",
     ]
     if ending in ("lower", "upper", "digit") and known >= 3:
@@ -108,33 +133,40 @@ def features(text: str, seen: int, at_limit: bool) -> list[str]:
 def _whole(text: str, at_limit: bool) -> bool:
     """Ends as whole texts do, as far as can be told without a model: what the model learns wholeness from."""
     bare, marked = core(text)
-    words = len(_WORD.findall(bare))
+    words = _length(bare)
     if marked or at_limit or not words or bare.count('"') % 2 or bare.count("(") > bare.count(")"):
         return False
     lines = bare.split("\n")
     listed = len(lines) > 1 and bool(_ITEM.match(lines[-1])) and len(_WORD.findall(lines[-1])) <= 4
-    return bool(_WHOLE_END.search(bare) or _CITED.search(bare) or listed or words <= 4 or bare.endswith('"') or _LABEL.search(bare))
+    return bool(_WHOLE_END.search(bare) or _CITED.search(bare) or listed or words <= SHORT or bare.endswith('"') or _LABEL.search(bare))
 
 
-def _cuts(text: str, limits: list[int], n: int) -> list[str]:
-    """The text cut at ``n`` places inside a sentence, fixed by the text's hash, some with what systems leave there."""
-    out: list[str] = []
+def _cuts(text: str, limits: list[int], n: int) -> list[tuple[str, float]]:
+    """The text cut at ``n`` places inside a sentence, fixed by the text's hash, some with what systems leave there.
+
+    With each what it counts: cuts inside a list's item, less.
+    """
+    out: list[tuple[str, float]] = []
     if _WHOLE_END.search(text.rstrip()) and text.rstrip().rstrip("\"')]").endswith("?") and not _SENTENCE.search(text.strip()):
         return out  # a lone question is given back whole, with or without its mark
     rng = np.random.default_rng(xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF)
     most = len(text) - 1
+    # Every third cut is among the first words, where a random one seldom is.
+    early = min(most, next((m.end() for i, m in enumerate(_WORD.finditer(text), 1) if i == SHORT), most))
     for k in range(n):
         fits = [x for x in limits if 2 < x < most]
-        at = int(rng.choice(fits)) if fits and k % 3 == 0 else int(rng.integers(min(12, most), most)) if most > 12 else most
+        at = int(rng.choice(fits)) if fits and k % 3 == 0 else int(rng.integers(1, early + 1)) if k == 2 else int(rng.integers(1, most)) if most > 1 else most
         left, right = text[:at], text[at:]
         bare = left.rstrip()
         lines = bare.split("\n")
-        if _WHOLE_END.search(bare) or _CITED.search(bare) or _LABEL.search(bare) or not _WORD.search(right) or len(_WORD.findall(bare)) < 5:
+        if _WHOLE_END.search(bare) or _CITED.search(bare) or _LABEL.search(bare) or not _WORD.search(right) or not _WORD.search(bare):
             continue
-        if _ITEM.match(lines[-1]) and bare.count("(") <= bare.count(")"):
-            continue  # a list that ends with an item cannot be told from a whole one
+        listed = bool(_ITEM.match(lines[-1])) and bare.count("(") <= bare.count(")")
+        if listed and right[:1] in ("\n", "\r"):
+            continue  # a list that ends with a whole item cannot be told from a whole one
+        counts = ITEM_CUT if listed else 1.0
         roll = int(rng.integers(0, 3 * len(MARKS)))
-        out.append(left + (" " if roll % 2 else "") + MARKS[roll] if roll < len(MARKS) else left)
+        out.append((left + (" " if roll % 2 else "") + MARKS[roll] if roll < len(MARKS) and k != 2 else left, counts))
     return out
 
 
@@ -207,45 +239,46 @@ def _fitted(known: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
     bounded = known.orderBy(F.xxhash64("text"), "text").limit(sample)
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple[str, float, str, int, bool]] = []
+        rows: list[tuple[str, float, str, int, bool, float]] = []
         for text, limit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not _whole(text, limit):
                 continue
-            rows.append((text, 0.0, closing_word(core(text)[0]), 1, False))
+            rows.append((text, 0.0, closing_word(core(text)[0]), 1, False, SHORT_WHOLE if _length(core(text)[0]) <= SHORT else 1.0))
             bare = text.rstrip()
             if bare.endswith("?") and not _SENTENCE.search(bare):
                 # Rare as such, so each counts several times.
-                rows += [(bare[:-1], 0.0, closing_word(bare), 1, False)] * 6
+                rows += [(bare[:-1], 0.0, closing_word(bare), 1, False, 1.0)] * 6
             own = {w.lower() for w in _WORD.findall(text)}
-            for cut in _cuts(text, at, 2):
+            for cut, counts in _cuts(text, at, 3 if _length(text) > SHORT else int(_length(text) > 1)):
                 word = closing_word(core(cut)[0])
-                rows.append((cut, 1.0, word, int(word in own), len(cut) in at or len(core(cut)[0]) in at))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = (pa.string(), pa.float64(), pa.string(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text", "label", "word", "own", "at_limit"])
+                rows.append((cut, 1.0, word, int(word in own), len(cut) in at or len(core(cut)[0]) in at, counts))
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = (pa.string(), pa.float64(), pa.string(), pa.int32(), pa.bool_(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text", "label", "word", "own", "at_limit", "counts"])
 
-    labelled = _map(bounded, ["text", "at_limit"], "text string, label double, word string, own int, at_limit boolean", label)
+    labelled = _map(bounded, ["text", "at_limit"], "text string, label double, word string, own int, at_limit boolean, counts double", label)
 
     def as_whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0).to_pylist()
         n = len(texts)
-        columns = [pa.array(texts, pa.string()), pa.array([0.0] * n, pa.float64()), pa.array([closing_word(core(t)[0]) for t in texts], pa.string()), pa.array([0] * n, pa.int32()), pa.array([False] * n, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=["text", "label", "word", "own", "at_limit"])
+        columns = [pa.array(texts, pa.string()), pa.array([0.0] * n, pa.float64()), pa.array([closing_word(core(t)[0]) for t in texts], pa.string()), pa.array([0] * n, pa.int32()), pa.array([False] * n, pa.bool_()), pa.array([1.0] * n, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["text", "label", "word", "own", "at_limit", "counts"])
 
     if whole is not None:
         others = whole.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
-        labelled = labelled.unionByName(_map(others, ["text"], "text string, label double, word string, own int, at_limit boolean", as_whole))
+        labelled = labelled.unionByName(_map(others, ["text"], "text string, label double, word string, own int, at_limit boolean, counts double", as_whole))
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         described = [features(t, s, a) for t, s, a in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(described, pa.list_(pa.string()))], names=["label", "features"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(described, pa.list_(pa.string())), batch.column(4)], names=["label", "features", "counts"])
 
-    seen = labelled.join(vocabulary, "word", "left").select("text", "label", (F.coalesce("seen", F.lit(0)) - F.col("own")).alias("seen"), "at_limit")
-    training = written(_map(seen, ["text", "label", "seen", "at_limit"], "label double, features array<string>", describe), "labelled")
+    seen = labelled.join(vocabulary, "word", "left").select("text", "label", (F.coalesce("seen", F.lit(0)) - F.col("own")).alias("seen"), "at_limit", "counts")
+    training = written(_map(seen, ["text", "label", "seen", "at_limit", "counts"], "label double, features array<string>, counts double", describe), "labelled")
     if training.select("label").distinct().count() < 2:
         return None
     vectors = HashingTF(numFeatures=DIMENSIONS, inputCol="features", outputCol="hashed", binary=True).transform(training)
-    return LogisticRegression(featuresCol="hashed", labelCol="label", maxIter=60, regParam=1e-4, aggregationDepth=2).fit(vectors.coalesce(8))
+    # Without standardization, which would let a name that only one text has tell that text's label by heart.
+    return LogisticRegression(featuresCol="hashed", labelCol="label", weightCol="counts", standardization=False, maxIter=60, regParam=1e-4, aggregationDepth=2).fit(vectors.coalesce(8))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

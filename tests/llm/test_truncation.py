@@ -83,3 +83,15 @@ def test_shares_add_up(spark, sf):
     rows = truncation.p4_shares(spark, sf).collect()
     assert sum(r.answers for r in rows) == sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("phase1_gen_sample100", "phase5_grounded_answers_sample100"))
     assert all(0 <= r.share <= 1 and r.cut <= r.answers for r in rows) and {r.tbl for r in rows} == {"phase1_gen_sample100", "phase5_grounded_answers_sample100"}
+
+
+def test_cuts_among_the_first_words_and_in_scripts_without_blanks(spark):
+    rng = random.Random(11)
+    japanese = [f"{rng.choice(NAMES)}は{rng.choice(NAMES)}川のほとりにあり、{rng.randint(1700, 2010)}年に設立されました。" for _ in range(60)]
+    short = [f"The {rng.choice(NOUNS)}" + rng.choice(["", "."]) for _ in range(60)] + [f"{a} {b}" for a in NAMES for b in NAMES]
+    wholes = [whole(rng) for _ in range(600)] + japanese + short
+    cuts = ["In 1843, the brid", "In 1901, the orches", "VarnoはOstelin川のほとりにあ", "QuenbyはArden川のほとりにあり、1851年に設立"]
+    df = spark.createDataFrame([(i, "t", x) for i, x in enumerate([*cuts, *wholes])], "ord bigint, tbl string, answer string")
+    got = {r.ord: r.score >= 0.5 for r in score_cuts(df, ["ord"], "answer", "tbl").collect()}
+    assert all(got[i] for i in range(len(cuts)))
+    assert sum(got[i] for i in range(len(cuts), len(got))) <= len(wholes) // 50
