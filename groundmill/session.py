@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +32,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.getCheckpointDir() is None:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a private one in local mode, as in tests; on a cluster an error, as other hosts cannot read it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="groundmill-"))
-    return named or spark.sparkContext.getCheckpointDir()
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -52,7 +59,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TURNS = count(1)
+_turn = 0
+
+
+def generation() -> int:
+    """Changes whenever the written tables are discarded, for those who keep one over several calls."""
+    return _turn
+
+
 def discard_written(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder, once its results are stored elsewhere."""
+    global _turn
+    _turn = next(_TURNS)
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
