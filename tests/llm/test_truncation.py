@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundmill.llm import truncation
-from groundmill.llm.truncation import core, features, score_cuts
+from groundmill.llm.truncation import core, describe, score_cuts, whole_end
 
 NAMES = ["Varno", "Ostelin", "Brekka", "Tollund", "Mirave", "Quenby", "Harrow", "Selkirk", "Lindow", "Arden"]
 NOUNS = ["bridge", "museum", "harbour", "library", "tunnel", "orchestra", "market", "archive"]
@@ -76,7 +76,7 @@ def test_lengths_that_pile_up_are_limits(spark):
 
 
 def test_features_of_long_text_are_few():
-    assert len(features("word " * 200_000, 3, False)) < 20
+    assert sum(map(len, describe(*core("word " * 200_000), False))) < 20
 
 
 def test_shares_add_up(spark, sf):
@@ -95,3 +95,32 @@ def test_cuts_among_the_first_words_and_in_scripts_without_blanks(spark):
     got = {r.ord: r.score >= 0.5 for r in score_cuts(df, ["ord"], "answer", "tbl").collect()}
     assert all(got[i] for i in range(len(cuts)))
     assert sum(got[i] for i in range(len(cuts), len(got))) <= len(wholes) // 50
+
+
+@pytest.mark.parametrize(("text", "whole"), [("It was led by Dr.", False), ("sold to the house of St.", False), ("at 10 a.", False), ("signed by Ann, i.e.", False), ("It is run by Works Inc.", True), ("It opened at 10 a.m.", True), ("in 1843.", True), ("She said “no.”", True)])
+def test_full_stops_that_end_no_sentence(text, whole):
+    assert whole_end(text) == whole
+
+
+def test_closing_words_and_texts_in_a_third_of_the_rows(spark):
+    rng = random.Random(12)
+    rows = [(i, "I don't know." if i % 3 == 0 else whole(rng) if i % 5 else cut_off(rng)) for i in range(900)]
+    df = spark.createDataFrame(rows, "ord bigint, answer string").withColumn("tbl", F.lit("t"))
+    out = {r.ord: r.score for r in score_cuts(df, ["ord"], "answer", "tbl").collect()}
+    assert len(out) == len(rows) and len({out[i] for i in range(0, 900, 3)}) == 1 and out[0] < 0.5
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "HOT_SHARE", 3)
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(100)] + [(200, None)], "i int, k string")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"), F.lit(None).cast("int").alias("none")).where("k <> 'k0'")
+    got = truncation.join_hot(left, right, "k", "n", left.count())
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, left.join(right.drop("n"), "k", "left").select("i", "k", "least", "none").collect()), key=repr)
+
+
+def test_what_one_table_teaches_serves_another(spark):
+    rng = random.Random(13)
+    texts = truncation.fold(spark.createDataFrame([("t", whole(rng)) for _ in range(400)], "s string, a string"), "a", "s")
+    cuts = truncation.fit_cuts(truncation.written(texts, "t"))
+    other = spark.createDataFrame([(1, "t", "In 1843, the museum of Varno was opened by Qu"), (2, "t", "In 1843, the museum of Varno was opened by Arden Lindow near the bridge.")], "ord int, s string, a string")
+    assert {r.ord: r.score > 0.5 for r in score_cuts(other, ["ord"], "a", "s", cuts=cuts).collect()} == {1: True, 2: False}
