@@ -1,16 +1,20 @@
 """Problem 2: defective pairs of a prompt and its response.
 
-Refusals are found by recurrence. The opening of each response is its first clause with the prompt's own words masked.
-Openings are clustered by verified MinHash over runs of characters. A cluster that recurs across unrelated prompts
-(many prompts, of several kinds, told apart by their first word) is a template, and so is a later clause that recurs
-like that. A response is a refusal if all of its clauses are templates, without a figure or a name that is neither the
-prompt's nor the template's: what follows a template such as "sources disagree, still" is a reply. On a table too small
-for anything to recur, a clause that says in so many words that there is no answer counts as well.
+Refusals are found by recurrence alone. A response whose clauses have no figures of their own may be one; the opening of
+each of its clauses is taken with the prompt's own words masked. Openings are clustered by verified MinHash over runs of
+characters. A cluster that recurs across unrelated prompts (of several kinds, told apart by their first word, none of
+which has nearly all of its prompts) is a template. A response is a refusal if its first clause is a template without a
+name that is neither the prompt's nor the template's, and no later clause says more than that: what follows a template
+such as "sources disagree, still" is a reply. A refusal whose wording no other prompt has gets none, so that a table of a
+few hundred rows shows fewer of its refusals than a large one.
 The other defects need no other row: a response that is the prompt given back, one that has no content, one whose
-function words are another language's than the prompt's, and one that the truncation model of problem 4 finds cut off.
+function words are another language's than the prompt's (of the languages listed below, or of another script), and one
+that the truncation model of problem 4 finds cut off.
 
-Scale: clustering sees distinct masked openings, after folding; statistics are pre-aggregated per (opening, prompt
-kind). Nothing of the size of the data comes to the driver.
+Scale: clustering sees distinct masked openings, after folding; prompts are counted per opening and kind before clusters
+are known, so that neither a refusal nor a prompt in a third of the rows is a group in one task. Rows meet templates by
+a join that broadcasts the openings that much of the rows have, and shuffles the others. Nothing of the size of the data
+comes to the driver.
 
 Defined results: a null or blank response is ``empty``; rows without a prompt (null, blank or unknown id, or a null
 query) have no defect; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
@@ -27,16 +31,19 @@ from pyspark.sql import functions as F
 
 from groundmill.functions.text import strip
 from groundmill.llm.near import components, near_links
-from groundmill.llm.truncation import core, is_cut, scored_answers
+from groundmill.llm.truncation import core, is_cut, join_hot, scored_answers
 from groundmill.llm.words import WORD
-from groundmill.session import table, written
+from groundmill.session import spread, table, written
 
-#: A template recurs with so many different prompts, of so many kinds.
-LEAST_PROMPTS = 4
-LEAST_KINDS = 3
+#: A template recurs with prompts of so many kinds; the share of its prompts that one kind may have at most. The wording
+#: of a reply belongs to one kind of prompts, and only by chance to a stray one of another.
+LEAST_KINDS = 2
+MOST_OF_A_KIND = 0.75
 OPENING_WORDS = 8
 #: The share of a template's prompts in which a capitalised word must stand to be the template's own.
 OWN_WORD = 0.4
+#: The share of a template's prompts in which it has no name but the prompt's, to be one that speaks of the prompt.
+ABOUT_PROMPT = 0.5
 #: Stands for a quotation of the prompt's (a letter that texts hardly have).
 TITLE = "\ua66e"
 
@@ -58,13 +65,12 @@ FUNCTION_WORDS = {
 _FUNCTION = {w: tuple(k for k, ws in FUNCTION_WORDS.items() if w in ws.split()) for ws in FUNCTION_WORDS.values() for w in ws.split()}
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
 
-# Ways of saying that there is no answer.
-_NO_ANSWER = re.compile(
-    r"\b(?:i (?:do not|don'?t) know|(?:can ?not|can'?t|unable to|not able to|not possible to|no way to) (?:be )?(?:answer|say|tell|find|determine|verify|respond|help)\w*|insufficient|unanswerable|not (?:enough|stated|mentioned)|no answer|does(?: not|n'?t) (?:say|contain|mention|provide)|"
-    r"none of the|nothing in the|rather not|have to decline|(?:sorry|apologies),? (?:but|that|this)|"
-    r"weiß (?:es )?(?:ich )?nicht|nicht beantworten|keine (?:angaben|information\w*)|ne (?:sais|peux) pas|aucune information|no (?:lo )?sé|no puedo|no contiene)",
-    re.I,
-)
+# Verbs that a prompt has by grammar alone.
+AUXILIARIES = frozenset({"do", "does", "did"})
+# Contractions, which are read as the words they stand for.
+CONTRACTIONS = (("dont", "do not"), ("can't", "can not"), ("cannot", "can not"), ("won't", "will not"), ("n't", " not"), ("'m", " am"), ("'d", " would"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"))
+_CONTRACTED = re.compile("|".join(rf"{c}\b" for c, _ in CONTRACTIONS), re.I)
+_EXPANDED = dict(CONTRACTIONS)
 _QUOTED = re.compile(r"[\"“„«][^\"”“»]*[\"”“»]")
 _ITEM = re.compile(r"\s*[-*•–]\s+\S")
 _CLAUSE = re.compile(r"(?<=[.!?;:])[\"”»')\]]*\s+|\n+")
@@ -146,16 +152,17 @@ def other_language(answer: str, query: str) -> bool:
     return most >= 1.5 and most >= 2 * mine or most >= 1 and not mine
 
 
-def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, int]]:
-    """By clause: its opening with the prompt's words (but function words) and with names masked, the names that are not the prompt's, whether
-    it has figures that are not the prompt's or is an item of a list, whether it says that there is no answer (quotations
-    apart), and how many of the prompt's words it has."""
+def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, int]]:
+    """By clause: its opening with the prompt's words (but function words) and with names masked, the names that are not
+    the prompt's, whether it has figures that are not the prompt's or is an item of a list, and how many of the prompt's
+    words it has."""
     own = set(words(query))
-    telling = own - _FUNCTION.keys()
+    telling = own - _FUNCTION.keys() - AUXILIARIES
     out = []
     # A quotation that the prompt has, such as a title, is masked as one.
     known = lambda m: TITLE if own.issuperset(words(m[0])) else m[0]
-    for part in _CLAUSE.split(_QUOTED.sub(known, core(answer)[0].replace("’", "'"))):
+    text = _CONTRACTED.sub(lambda m: _EXPANDED[m[0].lower()], core(answer)[0].replace("’", "'"))
+    for part in _CLAUSE.split(_QUOTED.sub(known, text)):
         tokens = WORD.findall(part)
         if not tokens:
             continue
@@ -171,7 +178,7 @@ def clauses(answer: str, query: str) -> list[tuple[str, list[str], bool, bool, i
             if mask != "*" or not masked or masked[-1] != mask:
                 masked.append(mask)
         figures = bool(_ITEM.match(part)) or any(t.lower() not in own and any(c.isdigit() for c in t) for t in tokens)
-        out.append((" ".join(masked[:OPENING_WORDS]), names, figures, bool(_NO_ANSWER.search(_QUOTED.sub(" ", part))), len(telling.intersection(t.lower() for t in tokens))))
+        out.append((" ".join(masked[:OPENING_WORDS]), names, figures, len(telling.intersection(t.lower() for t in tokens))))
     return out
 
 
@@ -181,12 +188,12 @@ def gives_back_whole(answer: str, query: str) -> bool:
     return a[-len(q) :] == q or bool(_REPLY.search(answer)) and not words(answer[list(_REPLY.finditer(answer))[-1].end() :])
 
 
-JUDGED = "ord bigint, kind string, query string, empty boolean, whole boolean, copies boolean, other boolean, clauses array<struct<opening: string, names: array<string>, figures: boolean, denies: boolean, asked: int>>"
+JUDGED = "ord bigint, kind string, query string, empty boolean, whole boolean, copies boolean, other boolean, clauses array<struct<opening: string, names: array<string>, figures: boolean, asked: int>>"
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
     """What can be said of a pair by itself, and its clauses."""
-    clause_type = pa.list_(pa.struct([("opening", pa.string()), ("names", pa.list_(pa.string())), ("figures", pa.bool_()), ("denies", pa.bool_()), ("asked", pa.int32())]))
+    clause_type = pa.list_(pa.struct([("opening", pa.string()), ("names", pa.list_(pa.string())), ("figures", pa.bool_()), ("asked", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,69 +206,74 @@ def _judged(pairs: DataFrame) -> DataFrame:
                 rows[2].append(copy and gives_back_whole(answer, query))
                 rows[3].append(copy)
                 rows[4].append(not empty and not copy and other_language(answer, query))
-                rows[5].append([dict(zip(("opening", "names", "figures", "denies", "asked"), c)) for c in clauses(answer, query)] if not empty and not copy else [])
+                rows[5].append([dict(zip(("opening", "names", "figures", "asked"), c)) for c in clauses(answer, query)] if not empty and not copy else [])
             arrays = [batch.column(0), pa.array(rows[0], pa.string()), batch.column(1), *(pa.array(r, pa.bool_()) for r in rows[1:5]), pa.array(rows[5], clause_type)]
             yield pa.RecordBatch.from_arrays(arrays, names=["ord", "kind", "query", "empty", "whole", "copies", "other", "clauses"])
 
-    return pairs.select("ord", "query", "answer").mapInArrow(run, JUDGED)
+    return spread(pairs.select("ord", "query", "answer")).mapInArrow(run, JUDGED)
 
 
-def _templates(openings: DataFrame) -> DataFrame:
-    """opening, root: the openings of the clusters that recur across unrelated prompts.
+def _templates(clause: DataFrame) -> DataFrame:
+    """h, own, about: the openings (by hash) of the clusters that recur across unrelated prompts, the template's own
+    names, and whether what it speaks of is mostly what the prompt has: where it then has another name, that is a variant
+    of the prompt's, where it doesn't, a reply.
 
-    ``openings`` has opening, kind, query. Clusters are joined by resemblance in runs of five characters.
+    ``clause`` has h, opening, kind, prompt, names. Clusters are joined by resemblance in runs of five characters.
     """
-    distinct = openings.select("opening").distinct()
-    found = near_links(distinct, "opening", "opening", words=5, similarity=0.8, units="chars")
-    roots = components(found.links)
-    rooted = distinct.join(found.members.select(F.col("id").alias("opening"), "cls"), "opening", "left").join(roots, "cls", "left").select("opening", F.coalesce(F.col("root").cast("string"), F.col("opening")).alias("root"))
-    rooted = written(rooted, "openings")
-    recurring = openings.join(rooted, "opening").groupBy("root").agg(F.countDistinct("query").alias("prompts"), F.countDistinct("kind").alias("kinds"))
-    return rooted.join(recurring.where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("kinds") >= LEAST_KINDS)), "root")
+    bare = F.countDistinct(F.when(F.size("names") == 0, F.col("prompt")))
+    counted = written(clause.groupBy("h", "opening", "kind").agg(F.countDistinct("prompt").alias("n"), bare.alias("bare")), "counted")
+    distinct = counted.select("h", "opening").distinct()
+    found = near_links(distinct, "h", "opening", words=5, similarity=0.8, units="chars")
+    roots = found.members.select(F.col("id").alias("h"), "cls").join(components(found.links), "cls").select("h", "root")
+    rooted = counted.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    kinds = rooted.groupBy("root", "kind").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"))
+    kinds = kinds.groupBy("root").agg(F.sum("n").alias("prompts"), F.sum("bare").alias("bare"), F.max("n").alias("most"), F.count("*").alias("kinds"))
+    recurring = kinds.where((F.col("kinds") >= LEAST_KINDS) & (F.col("most") <= MOST_OF_A_KIND * F.col("prompts"))).select("root", "prompts", (F.col("bare") >= ABOUT_PROMPT * F.col("prompts")).alias("about"))
+    templates = written(rooted.select("h", "root").distinct().join(recurring, "root"), "templates")
+    # A capitalised word is the template's own if much of its prompts have it there (nouns, in German).
+    names = clause.select("h", "prompt", F.explode(F.array_distinct("names")).alias("name")).groupBy("h", "name").agg(F.countDistinct("prompt").alias("n"))
+    names = names.join(templates, "h").groupBy("root", "name").agg(F.sum("n").alias("n"), F.first("prompts").alias("prompts"))
+    own = names.where((F.col("n") >= 2) & (F.col("n") >= OWN_WORD * F.col("prompts"))).groupBy("root").agg(F.collect_list("name").alias("own"))
+    return templates.join(own, "root", "left").select("h", F.coalesce("own", F.array().cast("array<string>")).alias("own"), "about")
 
 
 def refusals(judged: DataFrame) -> DataFrame:
     """ord of the pairs whose response declines the question as a whole."""
-    clause = judged.select("ord", "kind", "query", F.posexplode("clauses").alias("i", "c")).select("ord", "kind", "query", "i", "c.*").where("not figures")
-    first = clause.where((F.col("i") == 0) & (F.size(F.split("opening", " ")) >= 2)).withColumn("told", F.size(F.filter(F.split("opening", " "), lambda w: w != "*")))
-    templates = _templates(first.where("told >= 2").select("opening", "kind", "query").distinct())
-    rooted = written(first.join(templates, "opening").select("ord", "query", "root", "prompts", "names"), "rooted")
-    # A capitalised word is the template's own if much of its prompts have it there (nouns, in German).
-    own = rooted.select("root", "query", "prompts", F.explode(F.array_distinct("names")).alias("name")).groupBy("root", "name", "prompts").agg(F.countDistinct("query").alias("n")).where(F.col("n") >= OWN_WORD * F.col("prompts")).select("root", "name")
-    foreign = rooted.select("ord", "root", F.explode("names").alias("name")).join(own, ["root", "name"], "left_anti").select("ord").distinct()
-    by_template = rooted.select("ord").join(foreign, "ord", "left_anti")
-    by_words = first.where("denies and size(names) <= 2").select("ord")
-    declined = written(by_template.unionByName(by_words).distinct(), "declined")
-    # Later clauses: none, or only such as recur themselves; anything else is a reply.
-    later = judged.where(F.size("clauses") > 1).join(declined, "ord", "left_semi").select("ord", "kind", "query", F.posexplode("clauses").alias("i", "c")).where("i > 0").select("ord", "kind", "query", "c.*")
-    later = written(later, "later")
-    recurring = later.where("not figures").groupBy("opening").agg(F.countDistinct("query").alias("prompts"), F.countDistinct("kind").alias("kinds")).where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("kinds") >= LEAST_KINDS)).select("opening")
-    told = F.split("opening", " ")
-    new = later.where("not figures and not denies").join(recurring, "opening", "left_anti").where((F.size("names") > 0) | (F.col("asked") >= 3) | (F.size(told) >= OPENING_WORDS))
-    replied = new.select("ord").unionByName(later.where("figures").select("ord")).distinct()
-    return declined.join(replied, "ord", "left_anti")
+    maybe = judged.where((F.size("clauses") > 0) & ~F.exists("clauses", lambda c: c["figures"]))
+    clause = maybe.select("ord", "kind", F.xxhash64("query").alias("prompt"), F.posexplode("clauses").alias("i", "c")).select("ord", "kind", "prompt", "i", "c.opening", "c.names", "c.asked")
+    parts = F.split("opening", " ")
+    clause = written(clause.select("*", F.xxhash64("opening").alias("h"), F.size(parts).alias("n_words"), F.size(F.filter(parts, lambda w: w != "*")).alias("told")), "clauses")
+    # The first clause decides whether a response may decline at all, so only the openings of such responses matter.
+    templates = written(_templates(clause.where("told >= 2")), "recurring")
+    weights = clause.groupBy("h").agg(F.count("*").alias("n"))
+    met = join_hot(clause.drop("opening", "kind", "prompt"), weights.join(templates, "h"), "h", "n", clause.count())
+    fits = F.coalesce(F.col("about") | (F.size(F.array_except("names", "own")) == 0), F.lit(False))
+    more = (F.size("names") > 0) | (F.col("asked") >= 3) | (F.col("n_words") >= OPENING_WORDS)
+    told = met.groupBy("ord").agg(F.max((F.col("i") == 0) & fits).alias("declines"), F.max((F.col("i") > 0) & ~fits & more).alias("replies"))
+    return told.where("declines and not replies").select("ord")
 
 
 def find_defects(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     """ord, defect. ``pairs``: ord, query (not null), answer; ``cut``: ord of the responses that were cut off."""
     judged = written(_judged(pairs.where("query is not null")), "judged")
     own = judged.select("ord", F.explode(F.array_compact(F.array(F.when(F.col("empty"), F.lit("empty")), F.when(F.col("copies"), F.lit("copies_question")), F.when(F.col("other"), F.lit("other_language"))))).alias("defect"))
-    refused = refusals(judged).withColumn("defect", F.lit("refusal"))
-    refused = written(refused, "refused")
+    refused = refusals(judged).select("ord", F.lit("refusal").alias("defect"))
     truncated = judged.where("not empty and not whole").join(cut.select("ord"), "ord", "left_semi").select("ord", F.lit("truncated").alias("defect"))
     return own.unionByName(refused).unionByName(truncated).distinct()
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, query, answer of the answers whose trimmed id has an example with a query."""
+    """ord, query, answer of the answers whose trimmed id has an example with a query. An id may have much of the answers."""
     queries = table(spark, sf_dir, "examples").where("example_id is not null and query is not null").groupBy(F.col("example_id").alias("key")).agg(F.max("query").alias("query"))
     generated = table(spark, sf_dir, "phase1_gen_sample100").select("ord", strip(F.col("id")).alias("key"), "answer")
-    return generated.join(queries, "key").select("ord", "query", "answer")
+    weights = generated.groupBy("key").agg(F.count("*").alias("n"))
+    met = join_hot(generated, queries.join(weights, "key"), "key", "n", generated.count())
+    return met.where("query is not null").select("ord", "query", "answer")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = written(pairs_of(spark, sf_dir), "pairs")
-    scored = scored_answers(spark, sf_dir, ["tbl", "ord"]).where((F.col("tbl") == "phase1_gen_sample100") & is_cut(F.col("score")))
+    scored = scored_answers(spark, sf_dir, ["ord"], ("phase1_gen_sample100",)).where(is_cut(F.col("score")))
     return find_defects(pairs, scored)
 
 

@@ -25,7 +25,7 @@ def test_templates_that_recur_across_unrelated_prompts_are_refusals(spark):
         name = rng.choice(NAMES)
         query = rng.choice(PROMPTS).format(name)
         kind = i % 5
-        if kind == 0:  # no cue that the fallback knows
+        if kind == 0:
             answer = rng.choice(["This lies outside of the material I was shown.", "This lies outside of the material I was shown. Perhaps another source helps."])
             want[i] = {"refusal"} | ({"other_language"} if query.startswith("Wer") else set())
         elif kind == 1:  # a template, then a reply
@@ -48,10 +48,10 @@ def test_other_defects(spark):
         (1, q, None), (2, q, " \n"), (3, q, "N/A"), (4, q, "[]"), (5, q, "Answer:"), (6, q, q), (7, q, f'"{q}"'), (8, q, f"So, {q.lower()[:-1]}."), (9, q, f"{q} It was Ostelin Brekka."),
         (10, q, f"Reply from the passages alone.\n\nQuestion: {q}\n\nContext:\nIn 1800, the bridge was ope"), (11, q, f"Question: {q}\nContext: In 1800.\nAnswer: Ostelin Brekka"),
         (12, q, "Die Gesellschaft wurde von Ostelin im Jahr 1800 gegründet."), (13, q, "Его основал Ostelin в 1800 году."), (14, q, 'It was Ostelin. Its motto is "La mer nous garde et les îles".'), (15, q, "1800"), (16, q, "Ostelin Brekka"),
-        (17, None, "I don't know."), (18, q, "I don't know."), (19, q, "Je ne sais pas."), (20, q, "It was founded by Ost"), (20, q, "It was founded by Ost"), (21, q, "word " * 200_000),
+        (17, None, "I don't know."), (18, q, "I don't know."), (19, q, "Je ne sais pas."), (22, "When was it?", "I do not know."), (23, "Wer war es?", "I don’t know."), (24, "Where is it?", "Je ne sais pas."), (25, "Wann war es?", "Das ist mir nicht bekannt."), (20, q, "It was founded by Ost"), (20, q, "It was founded by Ost"), (21, q, "word " * 200_000),
     ]
     got = found(spark, rows, cut=[10, 20, 1])
-    want = {i: {"empty"} for i in (1, 2, 3, 4, 5)} | {i: {"copies_question"} for i in (6, 7, 8)} | {10: {"copies_question", "truncated"}, 12: {"other_language"}, 13: {"other_language"}, 18: {"refusal"}, 19: {"refusal", "other_language"}, 20: {"truncated"}}
+    want = {i: {"empty"} for i in (1, 2, 3, 4, 5)} | {i: {"copies_question"} for i in (6, 7, 8)} | {10: {"copies_question", "truncated"}, 12: {"other_language"}, 13: {"other_language"}, 18: {"refusal"}, 19: {"refusal", "other_language"}, 22: {"refusal"}, 23: {"refusal"}, 24: {"refusal", "other_language"}, 20: {"truncated"}}
     assert got == want
 
 
@@ -73,7 +73,8 @@ def test_languages_need_to_be_clear():
 
 def test_clauses_mask_the_prompt():
     got = clauses('None of the passages mention "The Old Bridge". Try again.', 'Who wrote "The Old Bridge"?')
-    assert got[0][0] == "none of the passages mention *" and not got[0][1] and got[0][3] and got[1][0] == "try again"
+    assert got[0][:3] == ("none of the passages mention *", [], False) and got[1][0] == "try again"
+    assert clauses("I can't say, it doesn't.", "Who?")[0][0] == "i can not say it does not"
 
 
 def test_found_has_only_rows_with_a_prompt(spark, sf):
@@ -82,3 +83,23 @@ def test_found_has_only_rows_with_a_prompt(spark, sf):
     rows = out.collect()
     assert len(rows) == len(set(rows)) > 0
     assert {r.ord for r in rows} <= {r.ord for r in replies.pairs_of(spark, sf).collect()}
+
+
+def test_no_wording_is_a_refusal_by_itself(spark):
+    assert found(spark, [(1, "Who founded it?", "I don't know."), (2, "When was it?", "Unanswerable given these passages."), (3, "Where is it?", "I cannot answer that.")]) == {}
+
+
+def test_a_wording_of_one_kind_of_prompts_is_a_reply(spark):
+    rows = [(i, f"Who founded the {n} Press?", "A very long story indeed.") for i, n in enumerate(NAMES)] + [(50, "When was it?", "A very long story indeed.")]
+    assert found(spark, rows) == {}
+
+
+def test_templates_about_the_prompt_may_name_a_variant_of_it(spark):
+    rows = [(i, f"{'Who founded' if i % 2 else 'Where is'} {n}?", f"The passages say nothing at all about {n}.") for i, n in enumerate(NAMES)]
+    rows += [(20, "When was Varno founded?", "The passages say nothing at all about Varnofield."), (21, "Who led Varno?", "It was founded by Ostelin."), (22, "When was Varno led?", "It was founded by Brekka.")]
+    assert found(spark, rows) == {i: {"refusal"} for i in [*range(len(NAMES)), 20]}
+
+
+def test_a_refusal_in_a_third_of_the_rows_and_an_id_with_most(spark):
+    rows = [(i, "Who founded it?" if i % 4 else "When was it?", "I don't know." if i % 3 == 0 else f"It was {NAMES[i % 12]} of {NAMES[i % 11]}, in {1700 + i}.") for i in range(600)]
+    assert found(spark, rows) == {i: {"refusal"} for i in range(0, 600, 3)}
