@@ -4,35 +4,52 @@ The method: analyse the schema graph of the records, inline elements that occur
 each repeated, shared or recursive element a table of its own, and fill in the foreign keys.
 
 Two inputs are served. JSON text, whose schema differs from row to row, is analysed by one pass that counts the
-edges of its schema graph (:func:`schema_graph`) and shredded by another (:func:`shred_json`). Typed columns have
+edges of its schema graph (:func:`analyse`) and shredded by another (:func:`shred_json`). Typed columns have
 their graph in the DataFrame's schema, so :func:`shred_column` needs no pass of its own.
 
-Defined results: null, blank or unreadable JSON, or JSON nested deeper than ``MAX_DEPTH``, gives no rows; an empty table gives empty tables; JSON that is
-encoded as a JSON string (up to ``MAX_ENCODINGS`` times) or stands alone in a list is unwrapped; repeated rows give
-repeated nodes, which the caller's key tells apart or folds; columns other than the key and the payload are ignored,
+Keys that are really data (an object with more than ``MAP_KEYS`` different keys in the whole table) would make the schema
+as large as the data: such an object is a map, and its nested values are elements ``<element>_entry`` of a table of their
+own, each with its key. Records of any depth are walked without recursion.
+
+Defined results: null, blank or unreadable JSON gives no rows; an empty table gives empty tables; JSON that is encoded as
+a JSON string, however often, is unwrapped, and of a list each record is taken, with a root of its own; repeated rows
+give repeated nodes, which the caller's key tells apart or folds; columns other than the key and the payload are ignored,
 whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = "record"
-MAX_ENCODINGS = 3
-MAX_DEPTH = 200
+#: Different keys of an element from which on they count as data, and edges of the graph that come to the driver at most.
+MAP_KEYS = 1_000
+MAX_EDGES = 20_000
+#: Different edges that a task holds before it hands its counts on.
+HELD_EDGES = 100_000
+#: Characters of a node's path from which on it is a hash and what follows it.
+LONG_PATH = 256
+#: Places in lists that a node's ``ordinals`` have at most, from the outermost inwards; its key tells it apart at any depth.
+LONG_PLACES = 100
+#: The field of an entry of a map that has its key.
+KEY = "@key"
 NODES = T.StructType(
     [
         T.StructField("relation", T.StringType()),
         T.StructField("node", T.StringType()),
         T.StructField("parent_relation", T.StringType()),
         T.StructField("parent_node", T.StringType()),
+        T.StructField("record_node", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("ordinals", T.ArrayType(T.IntegerType())),
         T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
@@ -45,17 +62,26 @@ class Names:
     """How keys become elements: ``aliases`` maps a key to its element; ``transparent`` objects are looked through.
 
     The fields of an object under a key in ``copied`` are the parent's too (dotted), also where it has a table of its
-    own, so that what is read there doesn't depend on the other records of the table.
+    own, so that what is read there doesn't depend on the other records of the table. The keys of the elements in
+    ``maps`` are data.
     """
 
     aliases: Mapping[str, str] = field(default_factory=dict)
     transparent: frozenset[str] = frozenset()
     copied: frozenset[str] = frozenset()
+    maps: frozenset[str] = frozenset()
 
-    def element(self, key: str) -> str:
+    def element(self, key: str, parent: str) -> str:
+        if parent in self.maps:
+            return nested_name(parent, "_entry")
         return self.aliases.get(key, key)
 
 
+def nested_name(element: str, suffix: str) -> str:
+    """The element of what lies in a list's list, or in a map; one name for all depths."""
+    return element if element.endswith(suffix) else element + suffix
+
+
 @dataclass(frozen=True)
 class Plan:
     """The elements with a table of their own, and why."""
@@ -63,31 +89,85 @@ class Plan:
     relations: Mapping[str, str]
 
 
-def _read(text: str | None) -> dict | None:
-    value: object = text
-    for _ in range(MAX_ENCODINGS):
-        if not isinstance(value, str):
-            break
-        try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
-            return None
-    if isinstance(value, list) and len(value) == 1:
-        value = value[0]
-    return value if isinstance(value, dict) and not _deeper(value, MAX_DEPTH) else None
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|([^\s{}\[\],:"]+))', re.S)
+
+
+def _loads(text: str) -> object:
+    """As json.loads, at any depth."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    top: list = []
+    stack: list[tuple[list | dict, str | None]] = [(top, None)]
+    # What may come next: a value, a key, a colon, or a comma or end; a value or key may be an end right after the opening.
+    wants, opened, at, end = "value", False, 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        mark, quoted, bare = m.groups()
+        holder, key = stack[-1]
+        if mark in ("}", "]"):
+            if len(stack) == 1 or isinstance(holder, dict) != (mark == "}") or not (wants == "comma" or opened):
+                raise ValueError(f"no JSON at {at}")
+            stack.pop()
+            wants, opened = "comma", False
+        elif mark == "," and wants == "comma" and len(stack) > 1:
+            wants, opened = ("key" if isinstance(holder, dict) else "value"), False
+        elif mark == ":" and wants == "colon":
+            wants = "value"
+        elif wants == "key" and quoted:
+            stack[-1] = (holder, json.loads(quoted))
+            wants, opened = "colon", False
+        elif wants == "value" and (mark in ("{", "[") or quoted or bare):
+            value = {} if mark == "{" else [] if mark == "[" else json.loads(quoted or bare)
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            wants, opened = "comma", False
+            if mark:
+                stack.append((value, None))
+                wants, opened = ("key" if mark == "{" else "value"), True
+        else:
+            raise ValueError(f"no JSON at {at}")
+    if len(stack) > 1 or len(top) != 1:
+        raise ValueError("JSON ends early")
+    return top[0]
+
+
+def records_of(text: str | None) -> list[dict]:
+    """The records of a payload, in order: unwrapped from JSON strings and lists."""
+    out: list[dict] = []
+    todo: list[object] = [text]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            out.append(value)
+        elif isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, str):
+            try:
+                todo.append(_loads(value))
+            except ValueError:
+                pass
+    return out
 
 
-def _deeper(value: dict, most: int) -> bool:
-    level: list = [value]
-    for _ in range(most):
-        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, (dict, list))]
-        if not level:
-            return False
-    return True
+def _scalar(value: object) -> str | None:
+    if isinstance(value, str) or value is None:
+        return value
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return None
 
 
-def _scalar(value: object) -> str | None:
-    return value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
+def _clean(value: str | None) -> str | None:
+    """Without halves of characters, which JSON escapes may leave."""
+    return value if value is None or value.isascii() else value.encode("utf-8", "replace").decode()
 
 
 def _flat(value: object) -> bool:
@@ -95,61 +175,63 @@ def _flat(value: object) -> bool:
     return isinstance(value, list) and not any(isinstance(x, (dict, list)) for x in value)
 
 
-def _edges(value: object, element: str, names: Names, count: dict) -> None:
-    if isinstance(value, dict):
-        for key, child in value.items():
-            if key in names.transparent and isinstance(child, dict):
-                _edges(child, element, names, count)
-            elif isinstance(child, dict) or isinstance(child, list) and not _flat(child):
-                edge = (element, names.element(key), isinstance(child, list))
-                count[edge] = count.get(edge, 0) + 1
-                _edges(child, names.element(key), names, count)
-    elif isinstance(value, list):
-        for child in value:
-            if isinstance(child, list):
-                edge = (element, f"{element}_item", True)
-                count[edge] = count.get(edge, 0) + 1
-                if not _flat(child):
-                    for grandchild in child:
-                        _items(grandchild, f"{element}_item", names, count)
-            else:
-                _edges(child, element, names, count)
-
-
-def _items(value: object, element: str, names: Names, count: dict) -> None:
-    if isinstance(value, dict) or isinstance(value, list) and not _flat(value):
-        _edges(value, element, names, count)
+def _nested(value: object) -> bool:
+    return isinstance(value, dict) or isinstance(value, list) and not _flat(value)
+
+
+def _edges(record: dict, names: Names, count: dict) -> None:
+    todo: list[tuple[object, str]] = [(record, ROOT)]
+    while todo:
+        value, element = todo.pop()
+        if isinstance(value, dict):
+            for key, child in value.items():
+                if key in names.transparent and isinstance(child, dict):
+                    todo.append((child, element))
+                elif _nested(child):
+                    name = names.element(key, element)
+                    edge = (element, name, isinstance(child, list) or element in names.maps)
+                    count[edge] = count.get(edge, 0) + 1
+                    todo.append((child, name))
+        elif isinstance(value, list):
+            for child in value:
+                if isinstance(child, list):
+                    name = nested_name(element, "_item")
+                    count[element, name, True] = count.get((element, name, True), 0) + 1
+                    todo += [(x, name) for x in child if _nested(x)]
+                elif isinstance(child, dict):
+                    todo.append((child, element))
 
 
 def schema_graph(df: DataFrame, payload: str, names: Names = Names()) -> DataFrame:
     """One row per edge of the records' schema graph: parent, child, whether the child repeats, and how often.
 
-    Counted within each batch before the shuffle, so what moves is of the size of the schema, not of the data.
+    Counted within each task before the shuffle, so what moves is of the size of the schema, not of the data.
     """
+    schema = pa.schema([("parent", pa.string()), ("child", pa.string()), ("repeated", pa.bool_()), ("n", pa.int64())])
+
+    def rows(edges: dict[tuple[str, str, bool], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"parent": _clean(p), "child": _clean(c), "repeated": r, "n": n} for (p, c, r), n in edges.items()], schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: dict[tuple[str, str, bool], int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _edges(_read(text), ROOT, names, edges)
-        rows = [{"parent": p, "child": c, "repeated": r, "n": n} for (p, c, r), n in edges.items()]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("parent", pa.string()), ("child", pa.string()), ("repeated", pa.bool_()), ("n", pa.int64())]))
+                for record in records_of(text):
+                    _edges(record, names, edges)
+                if len(edges) > HELD_EDGES:
+                    yield rows(edges)
+                    edges = {}
+        yield rows(edges)
 
     found = df.select(F.col(payload).cast("string")).mapInArrow(count, "parent string, child string, repeated boolean, n bigint")
     return found.groupBy("parent", "child", "repeated").agg(F.sum("n").alias("n"))
 
 
-def plan_inlining(graph: DataFrame, max_edges: int = 20_000, always: Iterable[str] = ()) -> Plan:
+def plan_inlining(edges: list[Row], always: Iterable[str] = ()) -> Plan:
     """The relations of shared inlining: elements that repeat, have several parents, or contain themselves.
 
-    Those in ``always`` get a table whatever the records hold.
-
-    Only the schema graph comes to the driver. It is as large as the schema; keys that are really data would make it
-    large, which is refused above ``max_edges``.
+    ``edges`` are the rows of a :func:`schema_graph`. Those in ``always`` get a table whatever the records hold.
     """
-    edges = graph.select("parent", "child", "repeated").limit(max_edges + 1).collect()
-    if len(edges) > max_edges:
-        raise ValueError(f"the schema graph has more than {max_edges} edges: its keys are data")
     children: dict[str, set[str]] = {}
     parents: dict[str, set[str]] = {}
     repeated = {e.child for e in edges if e.repeated}
@@ -176,32 +258,77 @@ def plan_inlining(graph: DataFrame, max_edges: int = 20_000, always: Iterable[st
     return Plan(why)
 
 
-def _shred(value: dict, names: Names, plan: Plan) -> list[tuple]:
+def analyse(df: DataFrame, payload: str, names: Names = Names(), always: Iterable[str] = (), map_keys: int = MAP_KEYS, max_edges: int = MAX_EDGES) -> tuple[Names, Plan]:
+    """The names, with the maps among the elements, and the plan: the analysis of records whose keys may be data.
+
+    The graph is counted again whenever maps were found, as folding their keys shows what lies below. At most
+    ``max_edges`` edges come to the driver: where there are more, fewer keys make a map.
+    """
+    while True:
+        graph = schema_graph(df, payload, names).persist()
+        edges = graph.limit(max_edges + 1).collect()
+        if len(edges) <= max_edges:
+            wide = [p for p, n in Counter(p for p, _ in {(e.parent, e.child) for e in edges}).items() if n > map_keys and p not in names.maps]
+            if not wide:
+                plan = plan_inlining(edges, always)
+                graph.unpersist()
+                return names, plan
+        else:
+            counts = graph.where(~F.col("parent").isin(*names.maps)).groupBy("parent").agg(F.countDistinct("child").alias("n"))
+            wide = [r.parent for r in counts.where(F.col("n") > map_keys).orderBy(F.desc("n"), "parent").limit(MAP_KEYS).collect()]
+            map_keys = map_keys if wide else map_keys // 2
+        names = replace(names, maps=names.maps | set(wide))
+        graph.unpersist()
+
+
+def _key(path: str) -> str:
+    """A node's key: its path in the record, of bounded length."""
+    return path if len(path) <= LONG_PATH else "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _shred(record: dict, root: str, names: Names, plan: Plan) -> list[tuple]:
     """The nodes of one record. A node's path in the record is its key; its parent is the nearest ancestor with a table."""
     nodes: list[tuple] = []
+    # Each with the element and key of the node that what is inlined belongs to, and that node's places and fields.
+    todo: list[tuple] = []
 
-    def add(element: str, path: str, parent: tuple[str | None, str | None], ordinals: tuple[int, ...], value: object) -> None:
-        fields: dict[str, str | None] = {}
+    def add(element: str, path: str, parent: tuple[str | None, str | None], ordinals: tuple[int, ...], value: object, key: str | None = None) -> None:
+        fields: dict[str, str | None] = {} if key is None else {KEY: key}
         kind = "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "scalar"
-        nodes.append((element, path, *parent, kind, ordinals, fields))
+        path, ordinals = _key(path), ordinals[:LONG_PLACES]
+        nodes.append((element, path, *parent, root, kind, ordinals, fields))
         if kind == "object":
-            inline(value, element, "", path, (element, path), ordinals, fields)
-        elif kind == "list" and not _flat(value):
-            for i, item in enumerate(value):
-                if item is not None:
-                    child(f"{element}_item", f"{path}[{i}]", (element, path), (*ordinals, i), item)
+            todo.append((value, element, "", path, (element, path), ordinals, fields))
+        elif _nested(value):
+            name = nested_name(element, "_item")
+            if name in plan.relations:
+                todo.append((value, name, None, path, (element, path), ordinals, fields))
         else:
             fields[""] = _scalar(value)
 
-    def child(element: str, path: str, parent: tuple[str, str], ordinals: tuple[int, ...], value: object) -> None:
-        if element in plan.relations:
-            add(element, path, parent, ordinals, value)
+    def copy(value: dict, prefix: str, fields: dict) -> None:
+        rest = [value]
+        while rest:
+            for key, item in rest.pop().items():
+                if key in names.transparent and isinstance(item, dict):
+                    rest.append(item)
+                elif not _nested(item):
+                    fields[f"{prefix}{key}"] = _scalar(item)
 
     def inline(value: dict, element: str, prefix: str, path: str, home: tuple[str, str], ordinals: tuple[int, ...], fields: dict) -> None:
-        for key, item in value.items():
-            name, at = names.element(key), f"{path}.{key}"
+        for place, (key, item) in enumerate(value.items()):
+            name, at = names.element(key, element), f"{path}.{key}"
             if key in names.transparent and isinstance(item, dict):
-                inline(item, element, prefix, at, home, ordinals, fields)
+                todo.append((item, element, prefix, _key(at), home, ordinals, fields))
+            elif element in names.maps:
+                if not _nested(item):
+                    fields[f"{prefix}{key}"] = _scalar(item)
+                elif name in plan.relations and isinstance(item, list):
+                    for i, x in enumerate(item):
+                        if x is not None:
+                            add(name, f"{at}[{i}]", home, (*ordinals, place, i), x, key)
+                elif name in plan.relations:
+                    add(name, at, home, (*ordinals, place), item, key)
             elif name in plan.relations and item is not None:
                 if isinstance(item, list) and not _flat(item):
                     for i, x in enumerate(item):
@@ -218,47 +345,48 @@ def _shred(value: dict, names: Names, plan: Plan) -> list[tuple]:
                 elif item:
                     fields[f"{prefix}{key}"] = _scalar(item)
             elif isinstance(item, dict):
-                inline(item, name, f"{prefix}{key}.", at, home, ordinals, fields)
+                todo.append((item, name, f"{prefix}{key}.", _key(at), home, ordinals, fields))
             else:
                 fields[f"{prefix}{key}"] = _scalar(item)
 
-    def copy(value: dict, prefix: str, fields: dict) -> None:
-        for key, item in value.items():
-            if key in names.transparent and isinstance(item, dict):
-                copy(item, prefix, fields)
-            elif not isinstance(item, dict) and (not isinstance(item, list) or _flat(item)):
-                fields[f"{prefix}{key}"] = _scalar(item)
-
-    add(ROOT, "$", (None, None), (), value)
+    add(ROOT, root, (None, None), (), record)
+    while todo:
+        value, element, prefix, path, home, ordinals, fields = todo.pop()
+        if prefix is not None:
+            inline(value, element, prefix, path, home, ordinals, fields)
+        else:
+            for i, item in enumerate(value):
+                if item is not None:
+                    add(element, f"{path}[{i}]", home, (*ordinals, i), item)
     return nodes
 
 
 def shred_json(df: DataFrame, keys: list[str], payload: str, names: Names = Names(), plan: Plan | None = None, relations: list[str] | None = None) -> DataFrame:
     """All nodes of the records in one pass: the key columns, then the columns of ``NODES``.
 
-    (key columns, node) identifies a row; (key columns, parent_node) is the foreign key to its parent's row.
-    ``relations`` limits what is put out. Fields of inlined objects have dotted names; a list of scalars is one field
-    with its JSON text.
+    (key columns, node) identifies a row; (key columns, parent_node) is the foreign key to its parent's row, and
+    ``record_node`` that to its record's. ``relations`` limits what is put out. Fields of inlined objects have dotted
+    names; a list of scalars is one field with its JSON text. Without a plan the records are analysed first.
     """
-    plan = plan or plan_inlining(schema_graph(df, payload, names))
+    if plan is None:
+        names, plan = analyse(df, payload, names)
     wanted = set(relations) if relations is not None else set(plan.relations)
     source = df.select(*(F.col(k) for k in keys), F.col(payload).cast("string").alias("__payload"))
     schema = T.StructType([*source.schema.fields[:-1], *NODES.fields])
-    node_type = pa.schema(
-        [("relation", pa.string()), ("node", pa.string()), ("parent_relation", pa.string()), ("parent_node", pa.string()), ("kind", pa.string()), ("ordinals", pa.list_(pa.int32())), ("fields", pa.map_(pa.string(), pa.string()))]
-    )
+    kinds = {"ordinals": pa.list_(pa.int32()), "fields": pa.map_(pa.string(), pa.string())}
+    node_type = pa.schema([(f.name, kinds.get(f.name, pa.string())) for f in NODES.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                value = _read(text)
-                if value is not None:
-                    for node in _shred(value, names, plan):
+                records = records_of(text)
+                for n, record in enumerate(records):
+                    for node in _shred(record, "$" if len(records) == 1 else f"$[{n}]", names, plan):
                         if node[0] in wanted:
                             at.append(i)
-                            rows.append((*node[:6], list(node[6].items())))
+                            rows.append((*map(_clean, node[:6]), node[6], [(_clean(k), _clean(v)) for k, v in node[7].items()]))
             take = pa.array(at, pa.int64())
             columns = [batch.column(k).take(take) for k in range(len(keys))]
             columns += [pa.array([row[k] for row in rows], kind.type) for k, kind in enumerate(node_type)]

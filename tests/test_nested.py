@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from groundmill.operators.inlining import Names, plan_inlining, relation_table, schema_graph, shred_column, shred_json
+from groundmill.operators.inlining import Names, analyse, records_of, relation_table, shred_column, shred_json
 from groundmill.plans import nested
 
+# Fixed values, as in the plans: the same keys for an independent reading.
 WRAP = ("row", "data", "example")
 LISTS = ("docs", "documents", "passages", "contexts", "ctxs", "retrieved_docs", "references")
 TEXT = ("text", "content", "paragraph_text", "passage", "sentence", "sent", "ctx", "context", "wikipedia_text", "wiki_text", "body")
@@ -83,8 +84,8 @@ def rows(spark, payloads):
 
 def test_plan_names_repeated_shared_and_recursive(spark):
     df = rows(spark, ['{"a": {"x": {"y": 1}}, "b": {"x": {"y": 2}}, "c": [{"d": 1}, null], "t": {"t": {"t": {"v": 1}}}, "one": {"z": {"w": 3}}}'])
-    plan = plan_inlining(schema_graph(df, "payload"))
-    assert plan.relations == {"record": "root", "x": "shared", "c": "repeated", "t": "shared+recursive"}
+    names, plan = analyse(df, "payload")
+    assert not names.maps and plan.relations == {"record": "root", "x": "shared", "c": "repeated", "t": "shared+recursive"}
 
 
 def test_foreign_keys_lead_to_parents_and_singletons_are_inlined(spark):
@@ -104,15 +105,61 @@ def test_unreadable_null_empty_and_clashing_names(spark):
     assert {(r.id, r.relation) for r in nodes.collect()} == {(8, "record"), (8, "node")}
     empty = rows(spark, []).where("id < 0")
     assert shred_json(empty, ["id"], "payload").count() == 0
-    with pytest.raises(ValueError):
-        plan_inlining(schema_graph(df, "payload"), max_edges=0)
 
 
 def test_very_long_and_deep_payloads(spark):
-    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    deep = '{"a":' * 5000 + '{"docs": [{"text": "x"}]}' + "}" * 5000
+    listed = '{"docs": ' + "[" * 50_000 + "1" + "]" * 50_000 + "}"
     long = json.dumps({"docs": [{"text": "word " * 200_000, "id": i} for i in range(3)]})
-    df = rows(spark, [long, "[" * 100_000, deep])
-    assert nested.nodes(df, "id", "payload").count() == 3
+    df = rows(spark, [long, "[" * 100_000, deep, deep[:-1], listed])
+    got = {(r.id, r.relation): r.n for r in nested.nodes(df, "id", "payload", None).groupBy("id", "relation").agg(F.count("*").alias("n")).collect()}
+    assert got[0, "docs"] == 3 and got[2, "docs"] == 1 and got[2, "record"] == 1 and got[2, "a"] == 5000
+    assert {i for i, _ in got} == {0, 2, 4} and got[4, "docs_item"] == 49_998
+    inner = [r.parent_node for r in nested.nodes(df, "id", "payload", ["docs"]).where("id = 2").collect()]
+    assert len(inner) == 1 and inner[0].startswith("#") and len(inner[0]) < 300
+
+
+@pytest.mark.parametrize(("text", "want"), [('{"a": [1, {"b": null}, "x\\"]"], "c": {}}', [{"a": [1, {"b": None}, 'x"]'], "c": {}}]), ('[{"a": 1}, "{\\"b\\": 2}", [{"c": 3}], 7, "x"]', [{"a": 1}, {"b": 2}, {"c": 3}]), (json.dumps(json.dumps(json.dumps(json.dumps(json.dumps({"a": 1}))))), [{"a": 1}]), ('{"a": 1,}', []), ("{} {}", []), ("", []), (None, [])])
+def test_records_of_a_payload(text, want, monkeypatch):
+    assert records_of(text) == want
+    # The reader for what is too deep reads the same.
+    real = json.loads
+    monkeypatch.setattr("groundmill.operators.inlining.json.loads", lambda t: real(t) if t[:1] not in ("{", "[") else (_ for _ in ()).throw(RecursionError))
+    assert records_of(text) == want
+
+
+def test_each_record_of_a_list_has_its_rows(spark):
+    df = rows(spark, ['[{"docs": [{"text": "a", "id": 1}]}, {"docs": [{"text": "b", "id": 2}]}]'])
+    shredded = nested.nodes(df, "id", "payload")
+    assert {(r.child_path, r.item) for r in nested._once(nested._json_children(shredded, "t", "id")).collect()} == {("0", "1"), ("1/0", "2")}
+    assert {(r.node, r.record_node) for r in shredded.where("relation = 'docs'").collect()} == {("$[0].docs[0]", "$[0]"), ("$[1].docs[0]", "$[1]")}
+
+
+@pytest.mark.parametrize(("map_keys", "max_edges"), [(50, 20_000), (1_000, 40)])
+def test_keys_that_are_data_are_folded_into_a_map(spark, map_keys, max_edges):
+    df = rows(spark, [json.dumps({"by_id": {f"k{i}_{j}": {"v": i, "w": {f"x{i}_{j}": [{"y": j}]}} for j in range(3)}, "one": {"z": {"q": 1}}}) for i in range(40)])
+    names, plan = analyse(df, "payload", map_keys=map_keys, max_edges=max_edges)
+    assert "by_id" in names.maps and "by_id_entry" in plan.relations and len(plan.relations) < 10
+    nodes = shred_json(df, ["id"], "payload", names, plan)
+    entries = nodes.where("relation = 'by_id_entry'").select("id", F.col("fields")["@key"].alias("k"), F.col("fields")["v"].alias("v")).where("k like 'k%'").collect()
+    assert {(r.id, r.k, r.v) for r in entries} == {(i, f"k{i}_{j}", str(i)) for i in range(40) for j in range(3)}
+    assert nodes.select(F.explode("fields").alias("k", "v")).where("k = 'y' and v in ('0', '1', '2')").count() == 120
+
+
+def test_halves_of_characters_are_replaced(spark):
+    df = rows(spark, ['{"docs": [{"text": "a\\ud800b", "\\udfff": {"x": 1}}]}'])
+    assert [r.fields["text"] for r in nested.nodes(df, "id", "payload", ["docs"]).collect()] == ["a?b"]
+
+
+def test_flat_tables_link_to_their_parents(spark, sf):
+    counts = {r.relation: (r.n, r.orphans) for r in nested.p1_orphans(spark, sf).collect()}
+    assert set(counts) >= {"documents", "qa_pairs", "evidence"} and all(n > 0 and o == 0 for n, o in counts.values())
+
+
+def test_documents_in_an_object_that_is_none_belong_to_its_record(spark):
+    df = rows(spark, ['{"docs": {"docs": [{"text": "a"}]}}', '{"docs": [{"text": "b", "docs": [{"text": "c"}]}, {"docs": [{"text": "d"}]}]}']).withColumnRenamed("id", "rec_id")
+    got = {(r.text, r.parent_relation, r.parent_node) for r in nested.documents(nested.nodes(df, "rec_id", "payload")).collect()}
+    assert got == {("a", "record", "$"), ("b", "record", "$")}
 
 
 def test_typed_columns_at_any_depth(spark):
