@@ -7,9 +7,9 @@ Fingerprints are cut into ``radius`` + 1 blocks: any two within the radius agree
 block of a document's window among the items' finds all of them. Candidates are verified by their exact weighted
 shingle similarity, and those of the same words in the same order are marked as exact.
 
-Scale: the items are a stated query set. They are taken in slices of at most ``slice_windows`` windows (about 100
-bytes each), each slice sent to all tasks and held against all documents; documents are read in place, without a
-shuffle. Only (document, item) pairs come out.
+Scale: the items are a stated query set. Their windows are made in tasks and written as a table, which is held against
+all documents in slices of about ``slice_windows`` windows (about 150 bytes each): one slice at a time comes to the
+driver and is sent to all tasks; documents are read in place, without a shuffle. Only (document, item) pairs come out.
 
 Defined results: null and blank texts, and items shorter than the window, match nothing; repeated rows count once; an
 empty table gives no rows; very long texts are worked through in pieces that overlap by a window; other columns are
@@ -28,11 +28,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundmill.llm.words import WORD, Hasher, runs
-from groundmill.session import spread, table
+from groundmill.session import spread, table, written
 
 WINDOW = 12
 RADIUS = 3
@@ -136,25 +137,39 @@ def weighted_similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return shared / (sum(p.values()) + sum(q.values()) - shared)
 
 
+WINDOWS = "item bigint, fingerprint bigint, shingles array<bigint>, weights array<int>"
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """A row per window of an item (item, text): item, fingerprint, shingles, weights."""
+    n = window - SHINGLE + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = plain_words(text)
+                if len(words) < window:
+                    continue
+                shingles, weights = runs(hasher.words(words), SHINGLE), _weights(words)
+                prints = simhash_windows(shingles, weights, n)
+                offsets = pa.array(np.arange(0, n * len(prints) + 1, n, dtype=np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.lib.stride_tricks.sliding_window_view(x, n).ravel())) for x in (shingles.view(np.int64), weights)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prints), item)), pa.array(prints.view(np.int64)), *lists], names=["item", "fingerprint", "shingles", "weights"])
+
+    return items.select("item", "text").mapInArrow(run, WINDOWS)
+
+
 class _Items:
     """The windows of a slice of the items, as arrays."""
 
-    def __init__(self, rows: list[tuple[int, str]], window: int) -> None:
-        hasher, n = Hasher(), window - SHINGLE + 1
-        ids, shingles, weights, prints = [], [], [], []
-        for item, text in rows:
-            words = plain_words(text)
-            if len(words) >= window:
-                s, w = runs(hasher.words(words), SHINGLE), _weights(words)
-                prints.append(simhash_windows(s, w, n))
-                shingles.append(np.lib.stride_tricks.sliding_window_view(s, n))
-                weights.append(np.lib.stride_tricks.sliding_window_view(w, n))
-                ids += [item] * len(prints[-1])
+    def __init__(self, windows: pa.Table, window: int) -> None:
         self.window = window
-        self.ids = np.array(ids, dtype=np.int64)
-        self.prints = np.concatenate(prints) if prints else np.empty(0, dtype=_U)
-        self.shingles = np.concatenate(shingles) if shingles else np.empty((0, n), dtype=_U)
-        self.weights = np.concatenate(weights) if weights else np.empty((0, n), dtype=np.int32)
+        columns = [c.combine_chunks() for c in windows.columns]
+        values = [(c.flatten() if pa.types.is_list(c.type) else c).to_numpy(zero_copy_only=False) for c in columns]
+        self.ids, self.prints = values[0].astype(np.int64), values[1].astype(np.int64).view(_U)
+        self.shingles = values[2].astype(np.int64).view(_U).reshape(len(self.ids), -1 if len(self.ids) else window - SHINGLE + 1)
+        self.weights = values[3].astype(np.int32).reshape(self.shingles.shape)
 
 
 def _pieces(texts: list[str], window: int) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -204,12 +219,11 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
     """
     spark = documents.sparkSession
     items = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
-    # An upper bound of the number of windows: words are at least a letter and a blank.
-    windows = items.agg(F.coalesce(F.sum(F.length("text") / 2), F.lit(0))).collect()[0][0]
-    slices = max(1, -(-int(windows) // slice_windows))
+    windows = written(item_windows(items, window), "windows")
+    slices = max(1, -(-windows.count() // slice_windows))
     source = spread(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")))
 
-    def held_against(part: _Items) -> DataFrame:
+    def held_against(part: _Items) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +236,20 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *scores], names=["doc", "item", "similarity", "exact_windows"])
 
         kind = source.schema["doc"].dataType.simpleString()
-        return source.mapInArrow(run, f"doc {kind}, item bigint, similarity double, exact_windows bigint")
-
-    parts = [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).collect()] for k in range(slices)]
-    found = reduce(DataFrame.unionByName, [held_against(_Items(rows, window)) for rows in parts])
-    return found.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("similarity").alias("similarity"), F.max("exact_windows").alias("exact_windows"))
+        return source.mapInArrow(run, f"doc {kind}, item bigint, similarity double, exact_windows bigint"), sent
+
+    found: list[DataFrame] = []
+    for k in range(slices):
+        # Equal windows have one fingerprint and so lie in one slice.
+        part = windows.where(F.pmod(F.xxhash64("fingerprint"), F.lit(slices)) == k) if slices > 1 else windows
+        matches, sent = held_against(_Items(part.toArrow(), window))
+        if slices > 1:
+            matches = written(matches, "matches")
+            sent.destroy()
+        found.append(matches)
+    # A document that has repeated rows, or rows of one id with several texts, has its best.
+    per_slice = [f.groupBy("doc", "item").agg(F.max("similarity").alias("similarity"), F.max("exact_windows").alias("exact_windows")) for f in found]
+    return reduce(DataFrame.unionByName, per_slice).groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("similarity").alias("similarity"), F.sum("exact_windows").alias("exact_windows"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +260,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where("exact_windows > 0").select("doc_id", "item_id")
 
 
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks without a window of the same words: a window within the radius and of a weighted similarity of 0.8."""
+    return _leaks(spark, sf_dir).where("exact_windows = 0").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each evaluation item with the number of documents that leak it."""
     leaks = p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
@@ -244,7 +272,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", "dataset", "split", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items}
+QUERIES = {"p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
 
 
 def _words_sql(text: str) -> str:

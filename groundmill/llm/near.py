@@ -12,8 +12,8 @@ A posting travels with a sketch of its signature, five bits of each coordinate.
 signatures do, so pairs of a long list that cannot reach ``matches`` end in the join and are never put out.
 
 Scale: exact copies are one class from the start, so a text that fills a third of the table is signed, posted and
-verified once. What moves is hashes; texts move only for classes in a retained pair. Lists that are long all the same
-are split into blocks that meet pairwise, each in a task of its own.
+verified once. What moves is hashes; texts move only for classes in a retained pair. All lists are counted, and those
+that are long all the same are split into blocks that meet pairwise, each in a task of its own.
 
 Defined results: null or blank texts and null ids take no part; a text with fewer than ``words`` words resembles
 nothing, not even its copies; an id with several texts is linked through any of them; repeated rows count once; an
@@ -140,8 +140,7 @@ def _most_matches(coordinates: int) -> Column:
 
 
 def _postings(signed: DataFrame, matches: int, common: dict[int, int], coordinates: int) -> DataFrame:
-    """posting, cls, how many postings of cls were skipped, the sketch of its signature, and into how many blocks the
-    posting's list is split."""
+    """posting, cls, how many postings of cls were skipped, and the sketch of its signature."""
     parts = _sketch_parts(coordinates)
     order = sorted(common.items())
     known, counts = np.array([p for p, _ in order], dtype=np.int64), np.array([n for _, n in order], dtype=np.int64)
@@ -163,13 +162,22 @@ def _postings(signed: DataFrame, matches: int, common: dict[int, int], coordinat
             np.put_along_axis(place, rank, np.broadcast_to(np.arange(value.shape[1]), value.shape), axis=1)
             keep = place >= skipped[:, None]
             row = np.nonzero(keep)[0]
-            blocks = np.maximum(1, -(-n[keep] // BLOCK)).astype(np.int32)
             bits = value & ((1 << SKETCH_BITS) - 1)
             sketch = [(bits[:, i : i + SKETCH_PART] << (SKETCH_BITS * np.arange(min(SKETCH_PART, value.shape[1] - i)))).sum(axis=1) for i in range(0, value.shape[1], SKETCH_PART)]
-            columns = [value[keep], cls[row], skipped[row].astype(np.int32), blocks, *(part[row] for part in sketch)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["posting", "cls", "skipped", "blocks", *parts])
+            columns = [value[keep], cls[row], skipped[row].astype(np.int32), *(part[row] for part in sketch)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["posting", "cls", "skipped", *parts])
 
-    return signed.select("cls", "signature").mapInArrow(run, "posting bigint, cls bigint, skipped int, blocks int, " + ", ".join(f"{p} bigint" for p in parts))
+    return signed.select("cls", "signature").mapInArrow(run, "posting bigint, cls bigint, skipped int, " + ", ".join(f"{p} bigint" for p in parts))
+
+
+def _with_blocks(postings: DataFrame) -> DataFrame:
+    """``blocks``: into how many a posting's list is split, 1 for all but the long ones.
+
+    Every list is counted. The long ones are a table, which the planner broadcasts while it is small and shuffles beyond.
+    """
+    long = postings.groupBy("posting").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    long = written(long.select("posting", F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")), "long")
+    return postings.join(long, "posting", "left").withColumn("blocks", F.coalesce("__blocks", F.lit(1))).drop("__blocks")
 
 
 def pairs_within(df: DataFrame, keys: list[str], item: str, blocks: Column, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -219,7 +227,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, scope_col: str | None
     base = base.where(F.col("id").isNotNull() & F.col("text").rlike(f"[^{WS}]")).withColumn("cls", F.xxhash64("scope", "text")).withColumn("salt", F.xxhash64("scope"))
     signed = written(_signed(base, words, coordinates, units), "signatures")
     members = base.select("scope", "id", "cls").distinct().join(signed.select("cls"), "cls", "left_semi")
-    postings = _postings(signed, matches, _common(signed), coordinates)
+    postings = _with_blocks(_postings(signed, matches, _common(signed), coordinates))
     met = pairs_within(postings, ["posting"], "cls", F.col("blocks"), ("skipped", *_sketch_parts(coordinates))).where(_most_matches(coordinates) >= matches)
     counted = met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.first(F.greatest("skipped_a", "skipped_b")).alias("skipped"))
     retained = written(counted.where(F.col("n") + F.col("skipped") >= matches).select("cls_a", "cls_b"), "retained")
@@ -240,7 +248,7 @@ def linked_ids(found: Links) -> DataFrame:
     return within.unionByName(across).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """cls and the least cls of its component, for the classes in ``links``.
 
     Each round takes the least label among the neighbours and then that label's label, so a chain of n links needs
@@ -248,7 +256,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = written(links.select(F.explode(F.array(F.struct(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")), F.struct(F.col("cls_b").alias("u"), F.col("cls_a").alias("v")))).alias("e")).select("e.*"), "edges")
     labels = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
         least = labels.join(near, "u").select("u", F.col("label").alias("was"), F.least("label", "l").alias("label"))
         jump = least.select(F.col("u").alias("label"), F.col("label").alias("next"))
@@ -256,7 +264,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = moved.select("u", "label")
         if moved.where("was <> label").isEmpty():
             return labels.select(F.col("u").alias("cls"), F.col("label").alias("root"))
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
 def near_groups(found: Links) -> DataFrame:
@@ -293,7 +300,22 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+_CLASSES_SQL = f"""t AS (SELECT tbl, id, text FROM (SELECT DISTINCT * FROM (
+  SELECT 'passages' AS tbl, passage_id AS id, text FROM passages UNION ALL SELECT 'candidate_docs', doc_id, text FROM candidate_docs)) WHERE id IS NOT NULL AND regexp_matches(text, '[^{WS}]')),
+c AS (SELECT tbl, text, k, w FROM (SELECT *, row_number() OVER () AS k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT tbl, text FROM t)) WHERE len(w) >= 3),
+s AS (SELECT DISTINCT tbl, k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM c)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+links AS (SELECT p, q FROM (SELECT a.k AS p, b.k AS q, count(*) AS shared FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.k < b.k GROUP BY ALL) JOIN n a ON a.k = p JOIN n b ON b.k = q WHERE shared >= 0.6 * (a.n + b.n - shared)),
+both_ways AS (SELECT p, q FROM links UNION ALL SELECT q, p FROM links)"""
 ORACLES = {
+    "p3_groups": f"""WITH RECURSIVE {_CLASSES_SQL},
+reach AS (SELECT k, k AS r FROM c UNION SELECT reach.k, q FROM reach JOIN both_ways ON p = r),
+roots AS (SELECT k, min(r) AS root FROM reach GROUP BY k),
+members AS (SELECT t.tbl, t.id, c.k, root FROM t JOIN c USING (tbl, text) JOIN roots USING (k)),
+groups AS (SELECT root, min(id) AS group_id, count(*) AS group_size FROM members GROUP BY root),
+copies AS (SELECT k, count(*) - 1 AS n_copies FROM members GROUP BY k),
+degree AS (SELECT p AS k, count(*) AS n_links FROM both_ways GROUP BY p)
+SELECT tbl, id, group_id, group_size, coalesce(n_links, 0) AS n_links, n_copies FROM members JOIN groups USING (root) JOIN copies USING (k) LEFT JOIN degree USING (k)""",
     "p3_found": f"""WITH t AS (SELECT tbl, id, text, row_number() OVER () AS k FROM (SELECT DISTINCT * FROM (
   SELECT 'passages' AS tbl, passage_id AS id, text FROM passages UNION ALL SELECT 'candidate_docs', doc_id, text FROM candidate_docs)) WHERE id IS NOT NULL AND regexp_matches(text, '[^{WS}]')),
 w AS (SELECT tbl, id, k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),

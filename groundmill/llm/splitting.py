@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundmill.llm.tokens import RANKS, Tokenizer, tokenizer
@@ -32,9 +32,10 @@ from groundmill.session import spread, table
 BLOCK = 4
 DIMENSIONS = 128
 LEAST_LETTERS = 4
+KNOWN_WORDS = 500_000
 #: What a paragraph end is worth as compared with a sentence end, in depth of valley.
 PARAGRAPH = 0.1
-_ENDS = re.compile(r"(?P<paragraph>(?:[^\S\n]*\r?\n)+)|(?<=[.!?。！？])[\"”»')\]]*(?P<sentence>\s+)")
+_SENTENCE_END = re.compile(r"[.!?。！？][\"”»')\]]*(\s+)")
 
 
 class Piece(NamedTuple):
@@ -44,38 +45,73 @@ class Piece(NamedTuple):
     boundary: str
 
 
+def _line_ends(text: str) -> Iterator[int]:
+    """Where the white space begins that holds a line end or several."""
+    at = text.find("\n")
+    while at >= 0:
+        start = at
+        while start and text[start - 1].isspace():
+            start -= 1
+        while at < len(text) and text[at].isspace():
+            at += 1
+        if at < len(text):
+            yield start
+        at = text.find("\n", at)
+
+
 def _boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Character offsets where a sentence or paragraph has ended, and which are paragraphs' ends."""
-    at, paragraph = [], []
-    for m in _ENDS.finditer(text):
-        if 0 < m.start() and m.end() < len(text):
-            at.append(m.start() if m["paragraph"] else m.start("sentence"))
-            paragraph.append(m["paragraph"] is not None)
-    return np.array(at, dtype=np.int64), np.array(paragraph, dtype=bool)
+    lines = np.fromiter(_line_ends(text), dtype=np.int64)
+    sentences = np.array([m.start(1) for m in _SENTENCE_END.finditer(text) if m.end() < len(text)], dtype=np.int64)
+    at = np.union1d(lines, sentences)
+    at = at[at > 0]
+    return at, np.isin(at, lines)
+
+
+class _Dimensions:
+    """The hashed dimension of each word, or none if it is too short; keeps those it has seen, up to a bound."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh32_intdigest(w) % DIMENSIONS if len(w) >= LEAST_LETTERS else -1
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+_DIMENSIONS = _Dimensions()
 
 
 def valley_depths(text: str, at: np.ndarray) -> np.ndarray:
     """How deep a valley of similarity each boundary lies in."""
     if not len(at):
         return np.empty(0)
-    units = np.zeros((len(at) + 2, DIMENSIONS), dtype=np.float32)
-    for m in WORD.finditer(text.lower()):
-        word = m.group()
-        if len(word) >= LEAST_LETTERS:
-            units[np.searchsorted(at, m.start(), "right") + 1, xxhash.xxh32_intdigest(word) % DIMENSIONS] += 1
-    sums = np.cumsum(units, axis=0, dtype=np.float64)
+    edges = [0, *at.tolist(), len(text)]
+    words = [WORD.findall(text[a:b].lower()) for a, b in zip(edges, edges[1:])]
+    unit = np.repeat(np.arange(1, len(words) + 1), [len(w) for w in words])
+    code = _DIMENSIONS.of([w for ws in words for w in ws])
+    counts = np.bincount((unit * DIMENSIONS + code)[code >= 0], minlength=(len(words) + 1) * DIMENSIONS)
+    sums = np.cumsum(counts.reshape(len(words) + 1, DIMENSIONS), axis=0)
     gap = np.arange(1, len(at) + 1)
-    before = sums[gap] - sums[np.maximum(gap - BLOCK, 0)]
-    after = sums[np.minimum(gap + BLOCK, len(at) + 1)] - sums[gap]
-    norm = np.linalg.norm(before, axis=1) * np.linalg.norm(after, axis=1)
-    similarity = np.divide((before * after).sum(axis=1), norm, out=np.zeros(len(at)), where=norm > 0)
-    left, right = similarity.copy(), similarity.copy()
-    for i in range(1, len(at)):
-        if similarity[i - 1] >= similarity[i]:
-            left[i] = left[i - 1]
-        if similarity[-i] >= similarity[-i - 1]:
-            right[-i - 1] = right[-i]
-    return left + right - 2 * similarity
+    before = (sums[gap] - sums[np.maximum(gap - BLOCK, 0)]).astype(np.float64)
+    after = (sums[np.minimum(gap + BLOCK, len(at) + 1)] - sums[gap]).astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", before, before) * np.einsum("ij,ij->i", after, after))
+    similarity = np.divide(np.einsum("ij,ij->i", before, after), norm, out=np.zeros(len(at)), where=norm > 0)
+    return _climbs(similarity.tolist()) + _climbs(similarity[::-1].tolist())[::-1]
+
+
+def _climbs(similarity: list[float]) -> np.ndarray:
+    """How far each lies below the peak that the way back from it climbs to without going down."""
+    peak, last, out = 0.0, -1.0, []
+    for x in similarity:
+        peak = peak if last >= x else x
+        out.append(peak - x)
+        last = x
+    return np.array(out)
 
 
 def _char_starts(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,4 +216,15 @@ def p7_pieces_256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(table(spark, sf_dir, "documents"), "doc_id", "text", 256, 32)
 
 
-QUERIES = {"p7_pieces": p7_pieces, "p7_pieces_256": p7_pieces_256}
+def p7_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document: a hash of its pieces put together without what they repeat, and whether all are within 512 tokens and
+    each goes on where the one before has ended or earlier."""
+    before = F.lag("char_end", 1, 0).over(Window.partitionBy("doc_id").orderBy("piece"))
+    pieces = p7_pieces(spark, sf_dir).withColumn("before", before).withColumn("new", F.expr("substr(text, int(before - char_start + 1))"))
+    in_order = (F.col("char_start") <= F.col("before")) & (F.col("char_end") > F.col("before")) & ((F.col("piece") == 0) | (F.col("overlap_tokens") > 0))
+    parts = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "new"))).alias("parts"), (F.max("n_tokens") <= 512).alias("within"), F.min(in_order).alias("in_order"))
+    return parts.select("doc_id", F.md5(F.array_join("parts.new", "")).alias("text_md5"), "within", "in_order")
+
+
+QUERIES = {f.__name__: f for f in (p7_pieces, p7_pieces_256, p7_joined)}
+ORACLES = {"p7_joined": r"SELECT doc_id, md5(text) AS text_md5, TRUE AS within, TRUE AS in_order FROM documents WHERE regexp_matches(text, '[^ \t\n\x0b\f\r]')"}

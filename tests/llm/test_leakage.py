@@ -93,3 +93,44 @@ def test_found_equals_brute_force_on_given_tables(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/eval_items.parquet").select("item_id", "text").collect()]
     assert {tuple(r) for r in leakage.p6_found(spark, sf).select("doc_id", "item_id").collect()} == brute(docs, items)
+
+
+def near_by_brute_force(docs, items, n=12, radius=3, least=0.8):
+    """doc, item: a window of each within the radius, of that weighted similarity."""
+    from groundmill.llm.leakage import _weights, weighted_similarity
+    from groundmill.llm.words import Hasher, runs
+
+    def windows(t):
+        w = plain_words(t)
+        s, v = runs(Hasher().words(w), 2), _weights(w)
+        return [(p, s[k : k + n - 1], v[k : k + n - 1]) for k, p in enumerate(simhash_windows(s, v, n - 1))]
+
+    out = set()
+    for i, t in items:
+        own = windows(t)
+        for d, u in docs:
+            if any(bin(int(p) ^ int(q)).count("1") <= radius and weighted_similarity(a, wa, b, wb) >= least for p, a, wa in own for q, b, wb in windows(u)):
+                out.add((d, i))
+    return out
+
+
+def test_near_leaks_equal_brute_force(spark):
+    items = [(i, text(16)) for i in range(12)]
+    docs = []
+    for d in range(40):
+        own = items[d % 12][1].split()
+        at = random.randint(0, 4)
+        part = own[at : at + 11] + [text(1)]  # a window but for its last word
+        docs.append((d, f"{text(6)} {' '.join(part)} {text(6)}"))
+    got = leaks(spark, docs, items, radius=9)
+    want = near_by_brute_force(docs, items, radius=9)
+    assert set(got) == want and len(want) > 3 and not brute(docs, items)
+
+
+@pytest.mark.parametrize("slice_windows", [7, 10_000])
+def test_slices_give_the_same(spark, slice_windows):
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(30))) for i in range(6)]
+    docs = [(d, f"a b c {' '.join(items[d % 6][1].split()[:13])} d e {items[(d + 1) % 6][1]}") for d in range(9)]
+    got = leaks(spark, docs, items, slice_windows=slice_windows)
+    assert {k: v[1] for k, v in got.items()} == {(d, d % 6): 2 for d in range(9)} | {(d, (d + 1) % 6): 19 for d in range(9)}

@@ -121,3 +121,21 @@ def test_units(spark, units):
     df = spark.createDataFrame([("p", "the context says nothing of this"), ("q", "the context says nothing of that"), ("r", "an entirely different kind of clause")], "id string, body string")
     found = near.near_links(df, "id", "body", words=1 if units == "words" else 5, similarity=0.6, units=units)
     assert {tuple(r)[1:] for r in near.linked_ids(found).collect()} == {("p", "q")}
+
+
+def test_every_long_list_is_split(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 20)
+    monkeypatch.setattr(near, "COMMON_LIMIT", 1)
+    postings = spark.createDataFrame([(k, i) for k in range(3) for i in range(10 + 25 * k)], "posting bigint, cls bigint")
+    assert {(r.posting, r.blocks) for r in near._with_blocks(postings).collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_lists_in_a_third_of_the_texts_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 10)
+    monkeypatch.setattr(near, "COMMON_FROM", 10_000)  # nothing is skipped
+    rng = random.Random(6)
+    shared = " ".join(f"boiler{i}" for i in range(30))
+    texts = [(i, f"{shared} {rng.randint(0, 9**9)} end") for i in range(60)] + [(100 + i, " ".join(str(rng.randint(0, 9**9)) for _ in range(30))) for i in range(120)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    links = near.near_links(df, "id", "text", words=3, similarity=0.8)
+    assert links.links.count() == 60 * 59 // 2

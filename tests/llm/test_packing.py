@@ -52,10 +52,27 @@ def test_little_room_is_left(spark):
     assert len({r["context"] for r in out}) <= 1.02 * total / 256 + 1
 
 
-def test_a_source_in_a_third_of_the_rows_leaves_no_room(spark):
-    rows = [(i, words(random.randint(2, 12), f"k{i}"), "hot" if i % 3 == 0 else f"a{i}") for i in range(300)]
+@pytest.mark.parametrize("size", [(2, 12), (20, 60)])
+def test_a_source_in_a_third_of_the_rows_needs_a_context_each_and_no_more(spark, size):
+    rows = [(i, words(random.randint(*size), f"k{i}"), "hot" if i % 3 == 0 else f"a{i}") for i in range(300)]
     out = packed(spark, rows, 256)
-    assert len({r["context"] for r in out}) <= 1.03 * sum(r["token_end"] - r["token_start"] for r in out) / 256 + 1
+    least = max(100, sum(r["token_end"] - r["token_start"] for r in out) / 256)
+    assert least <= len({r["context"] for r in out}) <= 1.04 * least + 1
+    hot = [r["context"] for r in out if r["doc_id"] % 3 == 0]
+    assert len(hot) == len(set(hot))
+
+
+def test_contexts_depend_on_the_rows_alone(spark):
+    rows = [(i % 140, words(i % 11, f"k{i % 140 % 90}"), f"a{i % 7}") for i in range(150)]
+    schema = "doc_id bigint, text string, article string"
+    first, second = (spark.createDataFrame(r, schema).repartition(n) for r, n in ((rows, 1), (rows[::-1], 7)))
+    got = [sorted((tuple(r) for r in pack(d, "doc_id", "text", "article", 64).select("doc_id", "piece", "context", "n_tokens").collect()), key=repr) for d in (first, second)]
+    assert got[0] == got[1] and len(got[0]) >= 150
+
+
+def test_conflicts_are_seen(spark):
+    df = spark.createDataFrame([("x", 1, 5), ("x", 1, 6), ("y", 1, 6), ("y", None, 7), (None, 1, 6), ("z", 2, 8), ("z", 3, 8)], "context string, source bigint, cluster bigint")
+    assert {tuple(r) for r in packing.conflicts(df).collect()} == {("x", "source", 1, 2), ("z", "cluster", 8, 2)}
 
 
 def test_a_cluster_in_a_third_of_the_rows_needs_a_context_each_and_no_more(spark):
@@ -80,12 +97,12 @@ def test_empty_table_and_bad_capacity(spark):
 
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = Bins(10)
-    assert [bins.put(6, 1, 0), bins.put(7, 2, 0), bins.put(9, 0, 0)] == [0, 1, 2]
-    assert bins.put(3, 2, 0) == 0  # bin 1 has just 3 left, but the same cluster
-    assert bins.put(3, 4, 0) == 1
-    assert bins.put(1, 1, 0) == 2 and bins.put(1, 1, 0) == 3  # bin 0 has 1 left, but the same cluster
-    soft = Bins(10)
-    assert soft.put(5, 0, 1) == 0 and soft.put(5, 0, 1) == 0  # a source is shared rather than a bin opened
+    assert [bins.put(6, "a"), bins.put(7, "b"), bins.put(9)] == [0, 1, 2]
+    assert bins.put(3, "b") == 0  # bin 1 has just 3 left, but the same cluster
+    assert bins.put(3, "c") == 1
+    assert bins.put(1, "a") == 2 and bins.put(1, "a") == 3  # bin 0 has 1 left, but the same cluster
+    apart = Bins(10)
+    assert apart.put(5, None, "s") == 0 and apart.put(5, None, "s") == 1 and apart.put(5, None, "t") == 0
 
 
 def test_near_clusters(spark):
