@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import cycle
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundmill.functions.keyed import digest, uniform
 from groundmill.functions.text import entities, keywords, negated, numbers, tokens
+from groundmill.session import join_hot
 
 # How many contexts of each label a profile has among twelve.
 RECIPES = {
@@ -17,34 +20,49 @@ RECIPES = {
 LABELS = ("support", "decoy", "conflict", "irrelevant")
 
 
-def label(claim: Column, text: Column) -> Column:
-    """support, conflict, decoy or irrelevant, from what a claim and a text share.
+def claim_features(claim: Column) -> Column:
+    """What labelling needs of a claim, worked out once."""
+    return F.struct(keywords(claim).alias("keywords"), entities(claim).alias("entities"), numbers(claim).alias("numbers"))
+
+
+def text_features(text: Column) -> Column:
+    """What labelling needs of a document, worked out once: less than its text, so joins carry this."""
+    return F.struct(F.array_distinct(tokens(text)).alias("tokens"), entities(text).alias("entities"), numbers(text).alias("numbers"), negated(text).alias("negated"))
+
+
+def label_of(claim: Column, text: Column) -> Column:
+    """support, conflict, decoy or irrelevant, from the features of a claim and of a text.
 
     Two shared keywords and a shared entity or number make it bear on the claim; it contradicts if it denies something
     or has numbers of which none is the claim's.
     """
-    shared = F.size(F.array_intersect(keywords(claim), tokens(text)))
-    figure = F.size(F.array_intersect(numbers(claim), numbers(text))) > 0
-    bears = (shared >= 2) & ((F.size(F.array_intersect(entities(claim), entities(text))) > 0) | figure)
-    other_figures = (F.size(numbers(claim)) > 0) & (F.size(numbers(text)) > 0) & ~figure
-    return F.when(bears & (negated(text) | other_figures), "conflict").when(bears, "support").when(shared >= 2, "decoy").otherwise("irrelevant")
+    shared = F.size(F.array_intersect(claim["keywords"], text["tokens"])) >= 2
+    figure = F.arrays_overlap(claim["numbers"], text["numbers"])
+    bears = shared & (F.arrays_overlap(claim["entities"], text["entities"]) | figure)
+    other_figures = (F.size(claim["numbers"]) > 0) & (F.size(text["numbers"]) > 0) & ~figure
+    return F.when(bears & (text["negated"] | other_figures), "conflict").when(bears, "support").when(shared, "decoy").otherwise("irrelevant")
+
+
+def label(claim: Column, text: Column) -> Column:
+    """The label of a claim and a text in one row; see :func:`label_of` for many pairs of few claims and texts."""
+    return label_of(claim_features(claim), text_features(text))
 
 
 def scaled_recipe(profile: str, k: int) -> dict[str, int]:
-    """A profile's recipe for ``k`` contexts: rounded half to even, made up with support, reduced in a fixed turn."""
-    if k == 12:
-        return dict(RECIPES[profile])
-    scaled = {name: max(0, round(n * k / 12)) for name, n in RECIPES[profile].items()}
-    total = sum(scaled.values())
-    if not total:
-        return scaled | {"irrelevant": k}
-    scaled["support"] += max(0, k - total)
-    turn = 0
-    while sum(scaled.values()) > k:
-        name = ("irrelevant", "decoy", "conflict", "support")[turn % 4]
-        scaled[name] -= scaled[name] > 0
-        turn += 1
-    return scaled
+    """A profile's recipe for ``k`` contexts.
+
+    Each quota is its share of k, halves to the even number. What is missing is support's; of what is too much, one at a
+    time is given up by irrelevant, decoy, conflict and support in turn. A recipe of nothing is all irrelevant.
+    """
+    quotas = {name: round(n * k / 12) for name, n in RECIPES[profile].items()}
+    if not any(quotas.values()):
+        return {**quotas, "irrelevant": k}
+    quotas["support"] += max(k - sum(quotas.values()), 0)
+    givers = cycle(("irrelevant", "decoy", "conflict", "support"))
+    while sum(quotas.values()) > k:
+        giver = next(name for name in givers if quotas[name])
+        quotas[giver] -= 1
+    return quotas
 
 
 def parse_schedule(schedule: str) -> list[tuple[str, float]]:
@@ -108,21 +126,25 @@ def sample_pool(corpus: DataFrame, id_col: str, seed: int, size: int) -> DataFra
 def backfill(claims: DataFrame, candidates: DataFrame, pool: DataFrame, pool_size: int, k: int, seed: int) -> DataFrame:
     """k irrelevant contexts from the pool for each claim without candidates: claim_id, position, doc_id.
 
-    A claim takes k neighbours in the pool's order from a place drawn for it: a join on the place, not on all pairs.
+    The pool is cut into k parts of about the same size, and a claim draws one of each: k different documents, each draw
+    by itself, by a join on the place and not on all pairs. A pool of fewer than k is repeated.
     """
     bare = claims.select("claim_id").join(candidates.select("claim_id").distinct(), "claim_id", "left_anti")
     places = bare.select("claim_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("position"))
-    start = F.floor(uniform(seed, F.col("claim_id")) * pool_size)
-    return places.withColumn("ordinal", F.pmod(start + F.col("position") - 1, F.lit(pool_size)).cast("int")).join(pool, "ordinal").select("claim_id", "position", "doc_id")
+    low, high = (F.floor((F.col("position") - 1 + i) * F.lit(pool_size / k)) for i in (0, 1))
+    drawn = F.floor(uniform(seed, F.col("claim_id"), F.col("position")) * F.greatest(high - low, F.lit(1)))
+    return places.withColumn("ordinal", F.pmod(low + drawn, F.lit(pool_size)).cast("int")).join(pool, "ordinal").select("claim_id", "position", "doc_id")
 
 
 def hydrate(contexts: DataFrame, lookup: DataFrame) -> DataFrame:
     """Contexts with title and text of the lookup where it has the document, as a pair; missing_doc where not.
 
-    ``contexts``: doc_id, title, text and others; ``lookup``: doc_id, title, text, one row per id.
+    ``contexts``: doc_id, title, text and others, cheap to read again; ``lookup``: doc_id, title, text, one row per id.
+    A document that much of the contexts have is joined by broadcast.
     """
-    known = lookup.select("doc_id", F.struct("title", "text").alias("__known"))
+    counts = contexts.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    known = lookup.join(counts, "doc_id").select("doc_id", F.struct("title", "text").alias("__known"), "__n")
     keep = [c for c in contexts.columns if c not in ("title", "text")]
-    joined = contexts.join(known, "doc_id", "left")
+    joined = join_hot(contexts, known, "doc_id", "__n", contexts.count())
     hit = F.col("__known").isNotNull()
     return joined.select(*keep, F.when(hit, F.coalesce(F.col("__known.title"), F.lit(""))).otherwise(F.col("title")).alias("title"), F.when(hit, F.coalesce(F.col("__known.text"), F.lit(""))).otherwise(F.col("text")).alias("text"), (~hit).alias("missing_doc"))

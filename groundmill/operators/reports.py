@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundmill.operators.claims import NLI_LABELS, answer_metrics
+from groundmill.session import written
 
 CLASSES = ("support", "decoy", "conflict")
 
@@ -18,16 +19,31 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def _phase_row(phase: str, per_id: DataFrame) -> DataFrame:
+    n = F.col("total_claims")
+    sums = [F.coalesce(F.sum(F.round(F.col(f"{x}_frac") * n)), F.lit(0)).cast("bigint").alias(f"{x}_claims") for x in NLI_LABELS]
+    means = [F.round(F.coalesce(F.avg(f"{x}_frac"), F.lit(0.0)), 6).alias(f"{x}_macro") for x in NLI_LABELS]
+    return per_id.agg(F.lit(phase).alias("phase"), F.count("*").alias("ids"), *sums, *means, F.count_if("partial_hallucination").alias("with_conflict"))
+
+
 def phase_rows(scores: Mapping[str, DataFrame]) -> DataFrame:
     """One row per phase: ids, claims by label, macro averages of the shares over ids, and ids with a conflict."""
-    parts = []
-    for phase, rows in scores.items():
-        per_id = answer_metrics(rows)
-        n = F.col("total_claims")
-        sums = [F.coalesce(F.sum(F.round(F.col(f"{x}_frac") * n)), F.lit(0)).cast("bigint").alias(f"{x}_claims") for x in NLI_LABELS]
-        means = [F.round(F.coalesce(F.avg(f"{x}_frac"), F.lit(0.0)), 6).alias(f"{x}_macro") for x in NLI_LABELS]
-        parts.append(per_id.agg(F.lit(phase).alias("phase"), F.count("*").alias("ids"), *sums, *means, F.count_if("partial_hallucination").alias("with_conflict")))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_phase_row(phase, answer_metrics(rows)) for phase, rows in scores.items()])
+
+
+def shared_phase_rows(scores: Mapping[str, DataFrame]) -> DataFrame:
+    """As :func:`phase_rows`, over the ids that all phases have."""
+    metrics = {phase: written(answer_metrics(rows), "metrics") for phase, rows in scores.items()}
+    shared = written(shared_ids(list(metrics.values())), "shared")
+    return reduce(DataFrame.unionByName, [_phase_row(phase, rows.join(shared, "id", "left_semi")) for phase, rows in metrics.items()])
+
+
+def report_row(every: DataFrame, shared: DataFrame, tag: str) -> DataFrame:
+    """One row: the tag, a struct per phase with its ids, claims by label, averages and ids with a conflict, and how many
+    ids all phases share."""
+    both = every.withColumn("shared", F.lit(False)).unionByName(shared.withColumn("shared", F.lit(True)))
+    entry = F.struct("phase", F.struct(*(c for c in every.columns if c != "phase")))
+    return both.agg(F.lit(tag).alias("tag"), F.map_from_entries(F.collect_list(F.when(~F.col("shared"), entry))).alias("phases"), F.max(F.when(F.col("shared"), F.col("ids"))).alias("shared_ids"))
 
 
 def shared_ids(tables: list[DataFrame]) -> DataFrame:

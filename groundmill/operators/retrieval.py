@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundmill.functions.text import tokens
@@ -13,26 +13,39 @@ from groundmill.functions.text import tokens
 K1, B = 0.9, 0.4
 
 
+#: Documents of one term that meet the queries in one task; a term that more documents have is dealt over several.
+BLOCK = 100_000
+
+
 class Index(NamedTuple):
-    """postings: doc_id, term, tf, length. terms: term, df, cf. stats: one row of docs, avg_length."""
+    """postings: doc_id, term, tf, length. terms: term, df, cf. stats: one row of docs, avg_length, corpus (a hash)."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0")
+
+
+def _corpus_hash() -> Column:
+    """The same for the same ids and texts in any order."""
+    return F.coalesce(F.sum(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))), F.lit(0)).alias("corpus")
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """Documents without tokens are no part of it. One row per id is expected."""
-    counted = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0")
+    counted = _counted(docs, id_col, text_col)
     postings = counted.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    stats = counted.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_length"))
+    stats = counted.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_length"), _corpus_hash())
     return Index(postings, terms, stats)
 
 
 def save_index(index: Index, path: str) -> None:
     """Three tables; postings lie by term, so that a query's terms are found by their files' statistics."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -42,31 +55,34 @@ def load_index(spark: SparkSession, path: str) -> Index:
 
 
 def ensure_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> Index:
-    """The saved index if it is of as many documents and tokens as these have, else a new one, saved."""
-    fresh = build_index(docs, id_col, text_col)
+    """The saved index if it is of these very ids and texts, else a new one, saved."""
+    now = docs.where(F.col(text_col).rlike("(?i)[a-z0-9]")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).agg(_corpus_hash()).first()
     try:
         saved = load_index(docs.sparkSession, path)
-        if saved.stats.first() == fresh.stats.first():
+        if saved.stats.first().corpus == now.corpus:
             return saved
-    except AnalysisException:
+    except (AnalysisException, AttributeError):
         pass
-    save_index(fresh, path)
+    save_index(build_index(docs, id_col, text_col), path)
     return load_index(docs.sparkSession, path)
 
 
-def search(index: Index, queries: DataFrame, query_id: str, query_text: str, top: int = 50, k1: float = K1, b: float = B) -> DataFrame:
+def search(index: Index, queries: DataFrame, query_id: str, query_text: str, top: int = 50, k1: float = K1, b: float = B, block: int = BLOCK) -> DataFrame:
     """query_id, doc_id, score, rank for each query's best ``top`` documents; ties by id.
 
-    Postings are first cut to the queries' terms, so that long lists of other terms move nowhere; scores are rounded
-    before ranking, as the order of a distributed sum is not fixed.
+    Postings are first cut to the queries' terms, so that long lists of other terms move nowhere. A term that most
+    documents have is dealt over parts by document, and the queries that ask for it are repeated for each part. Scores
+    are rounded before ranking, as the order of a distributed sum is not fixed.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    asked = wanted.select("term").distinct().join(index.terms.select("term", "df"), "term")
+    asked = asked.withColumn("parts", F.greatest(F.ceil(F.col("df") / block), F.lit(1)).cast("int"))
     stats = index.stats.first()
     n, average = stats.docs, stats.avg_length or 1.0
-    used = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    terms = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.lit(float(average))))
-    scored = used.join(terms, "term").withColumn("weight", weight).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    used = index.postings.join(asked, "term").select("term", "doc_id", weight.alias("weight"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    sides = wanted.join(asked.select("term", "parts"), "term").select("query_id", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    scored = used.join(sides, ["term", "part"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "doc_id", "score", "rank")

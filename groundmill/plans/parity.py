@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundmill.functions.picks import present, truthy, worded
-from groundmill.functions.text import NEGATION_CUES, STOPWORDS, WS, entities, filled, key_of, keywords, negated, numbers, safe_name, strip, tokens
+from groundmill.functions.text import JUNK, NEGATION_CUES, STOPWORDS, WS, entities, filled, key_of, keywords, negated, numbers, safe_name, strip, tokens
+from groundmill.plans.nested import _document_text_sql, _filled_sql, _first_sql, _items_sql
 from groundmill.operators import chunking, claims, contexts, ingest, mixing, prompts, reports, retrieval
-from groundmill.session import spread, table
+from groundmill.session import join_hot, shared_dir, spread, table, written
+from groundmill.sources import jsonl
 from groundmill.streaming import arrivals
 
 SEED, SCHEDULE = 42, "clean:0.34,mixed:0.33,toxic:0.33"
@@ -97,10 +102,9 @@ def chunk_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "title", F.md5("text").alias("text_md5"), "chunk_index")
 
 
-@query(f"""SELECT doc_id, {_KEY} AS article_key FROM (SELECT doc_id, NULL AS article_id, title, text FROM documents WHERE text IS NOT NULL)""")
+@query(f"""SELECT doc_id, {_KEY} AS article_key FROM documents""")
 def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", key_of(F.lit(None).cast("string"), F.col("title"), F.col("text")).alias("article_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", key_of(F.col("article_id"), F.col("title"), F.col("text")).alias("article_key"))
 
 
 def _collapsed(x: str) -> str:
@@ -142,7 +146,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT count(*) AS docs, avg(len(t)) AS avg_length FROM (SELECT {_tokens('text')} AS t FROM {_CORPUS} WHERE text IS NOT NULL) WHERE len(t) > 0""")
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build_index(_corpus(spark, sf_dir), "passage_id", "text").stats
+    return retrieval.build_index(_corpus(spark, sf_dir), "passage_id", "text").stats.select("docs", "avg_length")
 
 
 def _bm25_sql(corpus: str, queries: str) -> str:
@@ -165,6 +169,7 @@ def bm25_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(index, table(spark, sf_dir, "eval_items").where("item_id % 20 = 0"), "item_id", "text")
 
 
+_DOCS = """(SELECT doc_id, p.title AS title, p.text AS text FROM (SELECT doc_id, arg_max({'title': title, 'text': text}, coalesce(text, '') || chr(1) || coalesce(title, '')) AS p FROM candidate_docs WHERE doc_id IS NOT NULL GROUP BY doc_id))"""
 _CLAIMS = "(SELECT claim_id, arg_max(claim_text, ord) AS claim_text FROM mixed_contexts WHERE claim_id IS NOT NULL AND claim_text IS NOT NULL GROUP BY claim_id)"
 _CANDS = """(SELECT claim_id, c.doc_id, min(rank) AS rank, coalesce(any_value(d.text), '') AS text FROM candidate_docs c
   LEFT JOIN (SELECT doc_id, max(text) AS text FROM candidate_docs GROUP BY doc_id) d ON c.doc_id = d.doc_id WHERE claim_id IS NOT NULL AND c.doc_id IS NOT NULL GROUP BY claim_id, c.doc_id)"""
@@ -176,13 +181,10 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One title and text per candidate document, folded before the join: a document in a tenth of the rows is one row."""
-    return table(spark, sf_dir, "candidate_docs").where("doc_id is not null").groupBy("doc_id").agg(F.max("title").alias("title"), F.max("text").alias("text"))
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = table(spark, sf_dir, "candidate_docs").where("claim_id is not null and doc_id is not null").groupBy("claim_id", "doc_id").agg(F.min("rank").alias("rank"))
-    return once.join(_lookup(spark, sf_dir).select("doc_id", "text"), "doc_id").select("claim_id", "doc_id", "rank", F.coalesce("text", F.lit("")).alias("text"))
+    """The title and text of one row per candidate document, folded before the join: a document in a tenth of the rows is one row."""
+    order = F.concat(F.coalesce("text", F.lit("")), F.lit("\x01"), F.coalesce("title", F.lit("")))
+    pairs = table(spark, sf_dir, "candidate_docs").where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("title", "text"), order).alias("pair"))
+    return pairs.select("doc_id", "pair.title", "pair.text")
 
 
 def _label_sql(claim: str, text: str) -> str:
@@ -201,8 +203,12 @@ _LABELLED = _labelled_sql(_CANDS, _CLAIMS)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _candidates(spark, sf_dir).join(_claims(spark, sf_dir), "claim_id")
-    return pairs.select("claim_id", "doc_id", "rank", contexts.label(F.col("claim_text"), F.col("text")).alias("label"))
+    once = table(spark, sf_dir, "candidate_docs").where("claim_id is not null and doc_id is not null").groupBy("claim_id", "doc_id").agg(F.min("rank").alias("rank"))
+    texts = written(_lookup(spark, sf_dir).select("doc_id", contexts.text_features(F.coalesce("text", F.lit(""))).alias("t")), "texts")
+    asked = written(_claims(spark, sf_dir).select("claim_id", contexts.claim_features(F.col("claim_text")).alias("c")), "claims")
+    counts = once.groupBy("doc_id").agg(F.count("*").alias("n"))
+    pairs = join_hot(once, texts.join(counts, "doc_id"), "doc_id", "n", once.count()).join(asked, "claim_id")
+    return pairs.select("claim_id", "doc_id", "rank", contexts.label_of(F.col("c"), F.col("t")).alias("label"))
 
 
 @query(_LABELLED)
@@ -220,8 +226,8 @@ def _profile(key):
 
 
 def _profile_sql(key: str) -> str:
-    (a, x), (b, y), (c, _) = contexts.parse_schedule(SCHEDULE)
-    return f"CASE WHEN {_uniform(repr(str(SEED)), key)} <= {x!r}::DOUBLE THEN '{a}' WHEN {_uniform(repr(str(SEED)), key)} <= {x + y!r}::DOUBLE THEN '{b}' ELSE '{c}' END"
+    draw = _uniform(repr(str(SEED)), key)
+    return f"CASE WHEN {draw} <= 0.34::DOUBLE THEN 'clean' WHEN {draw} <= 0.67::DOUBLE THEN 'mixed' ELSE 'toxic' END"
 
 
 @query(f"SELECT example_id, {_profile_sql('example_id')} AS mix_profile FROM (SELECT DISTINCT example_id FROM examples WHERE example_id IS NOT NULL)")
@@ -229,8 +235,12 @@ def profile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "examples").where("example_id is not null").select("example_id").distinct().select("example_id", _profile(F.col("example_id")).alias("mix_profile"))
 
 
+# The quotas of support, decoy, conflict and irrelevant contexts, worked out by hand.
+_QUOTAS = {12: {"clean": (8, 3, 0, 1), "mixed": (5, 4, 2, 1), "toxic": (3, 4, 4, 1)}, 6: {"clean": (4, 2, 0, 0), "mixed": (3, 2, 1, 0), "toxic": (2, 2, 2, 0)}}
+
+
 def _selection_sql(k: int, labelled: str = _LABELLED) -> str:
-    quota = " ".join(f"WHEN mix_profile = '{p}' AND label = '{name}' THEN {n}" for p in contexts.RECIPES for name, n in contexts.scaled_recipe(p, k).items())
+    quota = " ".join(f"WHEN mix_profile = '{p}' AND label = '{name}' THEN {n}" for p, quotas in _QUOTAS[k].items() for name, n in zip(("support", "decoy", "conflict", "irrelevant"), quotas))
     return f"""WITH c AS (SELECT *, {_profile_sql("split_part(claim_id, '::', 1)")} AS mix_profile FROM ({labelled})),
 a AS (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n, row_number() OVER (PARTITION BY claim_id ORDER BY rank, doc_id) AS place FROM c),
 b AS (SELECT *, label = 'irrelevant' AND place > floor(n * 0.6::DOUBLE) AS tail FROM a),
@@ -262,7 +272,7 @@ def select_contexts_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH pool AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', doc_id)), doc_id) - 1 AS ordinal FROM {_CORPUS} ORDER BY ordinal LIMIT {POOL}),
 bare AS (SELECT DISTINCT example_id AS claim_id FROM examples WHERE example_id IS NOT NULL AND example_id NOT IN (SELECT split_part(claim_id, '::', 1) FROM candidate_docs WHERE claim_id IS NOT NULL))
 SELECT b.claim_id, b.position, p.doc_id FROM (SELECT claim_id, unnest(range(1, 7)) AS position FROM bare) b
-JOIN pool p ON p.ordinal = (CAST(floor({_uniform(repr(str(SEED)), 'claim_id')} * (SELECT count(*) FROM pool)) AS BIGINT) + b.position - 1) % (SELECT count(*) FROM pool)""")
+JOIN pool p ON p.ordinal = (SELECT CAST(floor((b.position - 1) * (count(*) / 6.0::DOUBLE)) + floor({_uniform(repr(str(SEED)), 'claim_id', 'b.position')} * greatest(floor(b.position * (count(*) / 6.0::DOUBLE)) - floor((b.position - 1) * (count(*) / 6.0::DOUBLE)), 1)) AS BIGINT) % count(*) FROM pool)""")
 def backfill_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six contexts from a sample of the corpus for each example that has no candidates at all."""
     pool = contexts.sample_pool(_corpus(spark, sf_dir), "passage_id", SEED, POOL)
@@ -276,15 +286,15 @@ _EXPLODED = "(SELECT ord, qid, i - 1 AS pos, contexts[i] AS c FROM (SELECT ord,
 
 @query(f"""SELECT ord, CAST(pos AS INTEGER) AS pos, c.doc_id AS doc_id, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(d.title, '') ELSE c.title END AS title,
        md5(CASE WHEN d.doc_id IS NOT NULL THEN coalesce(d.text, '') ELSE c.text END) AS text_md5, d.doc_id IS NULL AS missing_doc
-FROM {_EXPLODED} LEFT JOIN (SELECT doc_id, max(title) AS title, max(text) AS text FROM candidate_docs WHERE doc_id IS NOT NULL GROUP BY doc_id) d ON c.doc_id = d.doc_id""")
+FROM {_EXPLODED} LEFT JOIN {_DOCS} d ON c.doc_id = d.doc_id""")
 def hydrate_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = table(spark, sf_dir, "mixed_contexts").select("ord", F.posexplode("contexts").alias("pos", "c")).where("c is not null").select("ord", "pos", "c.doc_id", "c.title", "c.text")
     return contexts.hydrate(mixed, _lookup(spark, sf_dir)).select("ord", "pos", "doc_id", "title", F.md5("text").alias("text_md5"), "missing_doc")
 
 
-@query("""SELECT qid, arg_max(claim_id, ord) AS claim_id, arg_max(mix_profile, ord) AS mix_profile, max(ord) AS ord FROM mixed_contexts WHERE qid IS NOT NULL AND claim_id IS NOT NULL AND mix_profile IS NOT NULL GROUP BY qid""")
+@query("""SELECT qid, arg_max_null(claim_id, ord) AS claim_id, arg_max_null(mix_profile, ord) AS mix_profile, max(ord) AS ord FROM mixed_contexts WHERE qid IS NOT NULL GROUP BY qid""")
 def last_row_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = table(spark, sf_dir, "mixed_contexts").where("qid is not null and claim_id is not null and mix_profile is not null")
+    mixed = table(spark, sf_dir, "mixed_contexts").where("qid is not null")
     return claims.last_wins(mixed.select("qid", "claim_id", "mix_profile", "ord"), ["qid"], "ord")
 
 
@@ -362,8 +372,14 @@ _PHASES = {"phase3": f"(SELECT * FROM {_ONE} WHERE mode = 'base')", "phase4": f"
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The scores of the three phases. What the contexts support is read once for all."""
     one, five = (_answers(spark, sf_dir, t) for t in ("phase1_gen_sample100", "phase5_grounded_answers_sample100"))
-    return {"phase3": _scores(spark, sf_dir, one.where("mode = 'base'")), "phase4": _scores(spark, sf_dir, one.where("mode = 'selective_refusal'")), "phase5": _scores(spark, sf_dir, five)}
+    phase = F.when(F.col("mode") == "base", "phase3").when(F.col("mode") == "selective_refusal", "phase4")
+    every = one.withColumn("phase", phase).where("phase is not null").unionByName(five.withColumn("phase", F.lit("phase5")))
+    rows = claims.answer_claims(every.where("id is not null"), ["ord", "id", "phase"], "answer")
+    premises = claims.context_tokens(table(spark, sf_dir, "mixed_contexts"), "qid", "ord", "contexts")
+    scored = written(claims.rule_scores(rows.join(premises, "id")).select("id", "phase", "label"), "scores")
+    return {p: scored.where(F.col("phase") == p) for p in ("phase3", "phase4", "phase5")}
 
 
 @query(" UNION ALL ".join(f"""SELECT '{p}' AS phase, count(*) AS ids, {', '.join(f"coalesce(sum(round({x}_frac * total_claims)), 0)::BIGINT AS {x}_claims" for x in claims.NLI_LABELS)},
@@ -372,6 +388,16 @@ def phase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.phase_rows(_phases(spark, sf_dir))
 
 
+_SHARED = "(" + " INTERSECT ".join(f"SELECT id FROM {_metrics_sql(x)}" for x in _PHASES.values()) + ")"
+
+
+@query(" UNION ALL ".join(f"""SELECT '{p}' AS phase, count(*) AS ids, {', '.join(f"coalesce(sum(round({x}_frac * total_claims)), 0)::BIGINT AS {x}_claims" for x in claims.NLI_LABELS)},
+ {', '.join(f'round(coalesce(avg({x}_frac), 0.0), 6) AS {x}_macro' for x in claims.NLI_LABELS)}, count(*) FILTER (WHERE partial_hallucination) AS with_conflict FROM {_metrics_sql(s)} WHERE id IN {_SHARED}""" for p, s in _PHASES.items()))
+def shared_phase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over the ids that all three phases have."""
+    return reports.shared_phase_rows(_phases(spark, sf_dir))
+
+
 @query(" INTERSECT ".join(f"SELECT id FROM {_metrics_sql(s)}" for s in _PHASES.values()))
 def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.shared_ids(list(_phases(spark, sf_dir).values()))
@@ -457,26 +483,74 @@ def _by_dataset_sql(keys: dict[str, list[str]]) -> str:
     return "CASE " + " ".join(f"WHEN dataset_id = '{d}' THEN {_present_sql(k)}" for d, k in keys.items()) + " END"
 
 
+_KNOWN = f"dataset_id IN ({', '.join(f"'{d}'" for d in ingest.QUERY_KEYS)})"
+_LISTED = "CASE " + " ".join(f"WHEN dataset_id = '{d}' THEN " + "CASE " + " ".join(f"WHEN json_exists(v, '$.{k}') THEN json_extract(v, '$.{k}') END".removesuffix(" END") for k in keys) + " END" for d, keys in ingest.DOC_LIST_KEYS.items()) + " END"
+
+
+def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.examples_of(table(spark, sf_dir, "raw_examples"), "rec_id", "dataset_id", "split", "payload", unknown="skip")
+
+
 @query(f"""SELECT rec_id AS id, dataset_id, split, coalesce({_by_dataset_sql(ingest.QUERY_KEYS)}, '') AS query, {_by_dataset_sql(ingest.ANSWER_KEYS)} AS gold_answer,
- CASE WHEN dataset_id = 'mirror/fever' THEN {_present_sql(ingest.LABEL_KEYS)} END AS label FROM {_V} WHERE dataset_id IN ({', '.join(f"'{d}'" for d in ingest.QUERY_KEYS)})""")
+ CASE WHEN dataset_id = 'mirror/fever' THEN {_present_sql(ingest.LABEL_KEYS)} END AS label, {_present_sql(ingest.RECORD_KEYS)} AS record_id, CASE WHEN dataset_id = 'mirror/alce-data' THEN {_present_sql(ingest.CITATION_KEYS)} END AS citations,
+ CASE WHEN dataset_id = 'mirror/fever' AND ({' OR '.join(f"json_exists(v, '$.{k}')" for k in ingest.EVIDENCE_KEYS)}) THEN json_array_length(coalesce({', '.join(f"json_extract(v, '$.{k}')" for k in ingest.EVIDENCE_KEYS)})) END AS evidence_sets FROM {_V} WHERE {_KNOWN}""")
 def unified_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four datasets' records by one schema."""
-    return ingest.examples_of(table(spark, sf_dir, "raw_examples"), "rec_id", "dataset_id", "split", "payload").drop("gold_claims")
+    sets = F.when(F.col("evidence").isNotNull(), F.json_array_length("evidence").cast("bigint")).alias("evidence_sets")
+    return _unified(spark, sf_dir).select("id", "dataset_id", "split", "query", "gold_answer", "label", "record_id", "citations", sets)
+
+
+@query(f"""SELECT id, CAST(pos AS INTEGER) AS pos, {_first_sql([*(_filled_sql(f"json_extract_string(d, '$.{k}')") for k in ingest.DOC_ID_KEYS)])} AS doc_id, md5(text) AS text_md5 FROM (
+  SELECT id, d, text, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM (SELECT id, i, d, {_document_text_sql('d')} AS text FROM {_items_sql(f'(SELECT rec_id AS id, {_LISTED} AS l FROM {_V} WHERE {_KNOWN})', 'id', 'l', 'i', 'd')} WHERE json_type(d) = 'OBJECT') WHERE text IS NOT NULL)""")
+def unified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with text of the records of two datasets, by their keys, in order."""
+    rows = _unified(spark, sf_dir).select("id", F.posexplode("docs").alias("pos", "d"))
+    return rows.select("id", "pos", filled(F.col("d.doc_id")).alias("doc_id"), F.md5("d.text").alias("text_md5"))
 
 
-@query()
+_ANSWERS = "CASE " + " ".join(f"WHEN json_exists(v, '$.{k}') THEN json_extract(v, '$.{k}')" for k in ingest.CLAIM_KEYS) + " END"
+
+
+@query(f"""SELECT id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS n, unnest(l) AS claim FROM (SELECT rec_id AS id, CASE json_type(a) WHEN 'ARRAY' THEN list_filter(json_extract_string(a, '$[*]'), lambda x: x IS NOT NULL) WHEN 'NULL' THEN [] ELSE [json_extract_string(a, '$')] END AS l
+  FROM (SELECT rec_id, {_ANSWERS} AS a FROM {_V} WHERE dataset_id = 'mirror/qampari') WHERE a IS NOT NULL)""")
 def unified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold claims of the records that list several answers."""
-    return ingest.examples_of(table(spark, sf_dir, "raw_examples"), "rec_id", "dataset_id", "split", "payload").where("gold_claims is not null").select("id", F.posexplode("gold_claims").alias("n", "claim"))
+    return _unified(spark, sf_dir).where("gold_claims is not null").select("id", F.posexplode("gold_claims").alias("n", "claim"))
+
+
+def _no_junk(x: str) -> str:
+    junk = ", ".join(f"'{j}'" for j in JUNK)
+    return f"CASE WHEN lower({_strip(x)}) NOT IN ({junk}) THEN {_filled(x)} END"
+
+
+_STRING = "json_extract_string(v, '{}')"
+
+
+def _question_sql(keys: list[str]) -> str:
+    at = lambda path: f"CASE WHEN json_type(v, '{path}') = 'VARCHAR' THEN {_no_junk(_STRING.format(path))} END"
+    paths = [f"$.{k}" for k in keys] + [f"$.metadata.{k}" for k in ingest.METADATA_QUESTION_KEYS] + [f"$.metadata.{h}.{k}" for h in ingest.METADATA_QUESTION_HOMES for k in ingest.INNER_QUESTION_KEYS]
+    return f"coalesce({', '.join(at(p) for p in paths)})"
+
+
+def _clean_list(x: str) -> str:
+    kept = f"list_filter(list_transform({x}, lambda x: {_no_junk('x')}), lambda x: x IS NOT NULL)"
+    return f"list_filter({kept}, lambda x, i: list_position({kept}, x) = i)"
 
 
-@query()
+@query(f"""SELECT * FROM (SELECT id, qid, question, array_to_string(CASE WHEN len(long) > 0 THEN long ELSE short END, ' | ') AS answers, CAST(n_annotations AS INTEGER) AS n_annotations, CAST(n_pairs AS INTEGER) AS n_pairs FROM (
+  SELECT rec_id AS id, 'asqa_' || coalesce(split, 'null') || '_' || lpad(CAST(rec_id AS VARCHAR), 6, '0') AS qid, {_question_sql(ingest.QUESTION_KEYS)} AS question, coalesce({_clean_list("json_extract_string(a, '$[*].long_answer')")}, []) AS long,
+    coalesce({_clean_list("json_extract_string(a, '$[*].qa_pairs[*].short_answers[*]')")}, []) AS short, coalesce(json_array_length(a), 0) AS n_annotations, coalesce(len(json_extract(a, '$[*].qa_pairs[*]')), 0) AS n_pairs
+  FROM (SELECT *, coalesce(json_extract(v, '$.annotations'), json_extract(v, '$.metadata.annotations')) AS a FROM {_V} WHERE dataset_id = 'mirror/asqa')) WHERE question IS NOT NULL) WHERE answers <> ''""")
 def asqa_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.asqa_samples(table(spark, sf_dir, "raw_examples").where("dataset_id = 'mirror/asqa'"), "rec_id", "split", "payload")
+    """Samples of the records with annotations."""
+    out = ingest.asqa_samples(table(spark, sf_dir, "raw_examples").where("dataset_id = 'mirror/asqa'"), "rec_id", "split", "payload")
+    return out.withColumn("answers", F.array_join("answers", " | "))
 
 
-@query()
+@query(f"""SELECT * FROM (SELECT rec_id AS id, 'alce_' || coalesce(split, 'null') || '_' || lpad(CAST(rec_id AS VARCHAR), 6, '0') AS qid, {_question_sql(['question', 'query', 'instruction', 'input'])} AS question, {_no_junk(_truthy_sql(['answer', 'output', 'response', 'gold', 'reference']))} AS answer
+  FROM {_V} WHERE dataset_id = 'mirror/alce-data') WHERE question IS NOT NULL AND answer IS NOT NULL""")
 def alce_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the records with one answer."""
     return ingest.alce_samples(table(spark, sf_dir, "raw_examples").where("dataset_id = 'mirror/alce-data'"), "rec_id", "split", "payload")
 
 
@@ -488,13 +562,11 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(F.coalesce(F.replace("dataset_id", F.lit("/"), F.lit("__")), F.lit("none")).alias("dataset"), F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("read"), F.count_if(v.isNotNull() & ~F.is_variant_null(v)).alias("readable"))
 
 
-@query(f"""SELECT example_id, coalesce({_filled('max(gold_answer)')}, {_filled('max(query)')}) AS text FROM examples WHERE example_id IS NOT NULL GROUP BY example_id HAVING coalesce({_filled('max(gold_answer)')}, {_filled('max(query)')}) IS NOT NULL""")
+@query(f"""SELECT example_id, coalesce({_filled('a')}, {_filled('q')}, to_json({{'gold_answer': a, 'query': q}})::VARCHAR) AS text FROM (SELECT example_id, max(gold_answer) AS a, max(query) AS q FROM examples WHERE example_id IS NOT NULL GROUP BY example_id)""")
 def pseudo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document in place of missing ones, of each example's answer or query."""
+    """A document in place of missing ones, of each example's answer or query, or of its row."""
     once = table(spark, sf_dir, "examples").where("example_id is not null").groupBy("example_id").agg(F.max("gold_answer").alias("gold_answer"), F.max("query").alias("query"))
-    return ingest.pseudo_documents(once.where(F.coalesce(filled(F.col("gold_answer")), filled(F.col("query"))).isNotNull()), "example_id", ["gold_answer", "query"])
-
-
+    return ingest.pseudo_documents(once, "example_id")
 
 
 _FLAT = "coalesce(array_to_string(list_transform(list_filter(contexts, lambda c: c.text IS NOT NULL), lambda c: c.text), chr(10) || chr(10)), '')"
@@ -532,7 +604,6 @@ def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SOME = "(SELECT claim_id, arg_max(claim_text, ord) AS claim_text FROM mixed_contexts WHERE claim_id IS NOT NULL AND claim_text IS NOT NULL AND ord % 20 = 0 GROUP BY claim_id)"
-_DOCS = "(SELECT doc_id, max(title) AS title, max(text) AS text FROM candidate_docs WHERE doc_id IS NOT NULL GROUP BY doc_id)"
 _HITS = f"(SELECT query_id AS claim_id, doc_id, rank, coalesce(text, '') AS text FROM ({_bm25_sql(_DOCS, f'(SELECT claim_id AS query_id, claim_text AS text FROM {_SOME})')}) JOIN {_DOCS} d USING (doc_id))"
 
 
@@ -569,3 +640,86 @@ def claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = once.withColumn("picked", ingest.claims_of(F.col("c"), F.when(F.col("a").isNotNull(), F.array("a")), F.col("q"))).where("picked is not null")
     has = F.size(F.filter(F.coalesce("c", F.array().cast("array<string>")), lambda x: x.isNotNull())) > 0
     return picked.select("example_id", F.when(has, "claims").when(F.col("a").isNotNull(), "answer").otherwise("question").alias("source"), F.size("picked").alias("n"))
+
+
+@query("""WITH once AS (SELECT example_id, list_filter(any_value(gold_claims), lambda x: x IS NOT NULL) AS c, max(gold_answer) AS a, max(query) AS q FROM examples WHERE example_id IS NOT NULL GROUP BY example_id)
+SELECT example_id AS qid, q AS question, example_id || '::c' || (generate_subscripts(l, 1) - 1) AS claim_id, unnest(l) AS claim_text FROM (SELECT *, CASE WHEN len(c) > 0 THEN c WHEN a IS NOT NULL THEN [a] WHEN trim(coalesce(q, '')) <> '' THEN [q] ELSE [] END AS l FROM once)""")
+def claims_for_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per claim of each example, as mixing takes them."""
+    once = table(spark, sf_dir, "examples").where("example_id is not null").groupBy("example_id").agg(F.first("gold_claims", ignorenulls=True).alias("c"), F.max("gold_answer").alias("a"), F.max("query").alias("q"))
+    return mixing.claims_for_mixing(once.withColumn("answers", F.when(F.col("a").isNotNull(), F.array("a"))), "example_id", "q", "c", "answers")
+
+
+@query(_BM25)
+def saved_index_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index that is saved, and found again as that of this corpus."""
+    path, corpus = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", _corpus(spark, sf_dir)
+    retrieval.ensure_index(corpus, "passage_id", "text", path)
+    return retrieval.search(retrieval.ensure_index(corpus, "passage_id", "text", path), table(spark, sf_dir, "eval_items").where("item_id % 20 = 0"), "item_id", "text")
+
+
+def _as_lines(spark: SparkSession, df: DataFrame) -> str:
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    jsonl.write_jsonl(df, path, overwrite=False)
+    return path
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(title, '') AS title, md5(text) AS text_md5 FROM documents WHERE {_filled('text')} IS NOT NULL""")
+def json_lines_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON lines, written and scanned again with counts of what is kept."""
+    path = _as_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "title", "text"))
+    return jsonl.scan_counted(spark, path)[0].select("doc_id", "title", F.md5("text").alias("text_md5"))
+
+
+@query(f"""SELECT doc_id, coalesce({_filled('article_id')}, '-') AS id, {_filled('title')} AS title, md5({_filled('text')}) AS text_md5 FROM documents""")
+def article_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of article records under any of their keys, from JSON lines scanned strictly; texts lie one object deeper."""
+    docs = table(spark, sf_dir, "documents")
+    path = _as_lines(spark, docs.select(F.col("doc_id").alias("n"), strip(F.col("article_id")).alias("pageid"), F.col("title").alias("article_title"), F.struct(F.col("text").alias("body")).alias("page")))
+    v = F.col("v")
+    picked = ingest.article_of(v)
+    return jsonl.scan_strict(spark, path).select(F.try_variant_get(v, "$.n", "bigint").alias("doc_id"), F.coalesce(picked["id"], F.lit("-")).alias("id"), picked["title"].alias("title"), F.md5(picked["text"]).alias("text_md5"))
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5 FROM documents WHERE {_filled('text')} IS NOT NULL""")
+def json_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a corpus file, by id, or by line where there is none (here, all have one)."""
+    path = _as_lines(spark, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"))
+    return jsonl.scan_documents(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT count(*) AS strict, count(*) AS tolerant, count(*) AS objects FROM raw_examples""")
+def json_lines_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records as JSON lines, by each of the scans."""
+    path = _as_lines(spark, table(spark, sf_dir, "raw_examples").select("rec_id", "dataset_id", "payload"))
+    scans = {"strict": jsonl.scan_strict, "tolerant": jsonl.scan_tolerant, "objects": jsonl.scan_objects}
+    rows = reduce(DataFrame.unionByName, [scan(spark, path).select(F.lit(name).alias("scan")) for name, scan in scans.items()])
+    return rows.agg(*(F.count_if(F.col("scan") == name).alias(name) for name in scans))
+
+
+_MERGED = "CASE WHEN json_type(v, '$.metadata') = 'OBJECT' THEN json_extract_string(v, '$.metadata.rev') END"
+
+
+@query(f"""SELECT rec_id, coalesce(dataset_id, 'none') AS kept, 'all' AS overridden, coalesce({_MERGED}, '') AS rev FROM {_V}""")
+def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's metadata with the run's: what the record has counts, or what the run has, as asked."""
+    rows = table(spark, sf_dir, "raw_examples").select("rec_id", "dataset_id", ingest.parsed(F.col("payload")).alias("v")).where("v is not null")
+    own = F.map_from_arrays(F.array(F.lit("dataset_id"), F.lit("rev")), F.array(F.coalesce("dataset_id", F.lit("none")), F.coalesce(F.try_variant_get("v", "$.metadata.rev", "string"), F.lit(""))))
+    run = F.create_map(F.lit("dataset_id"), F.lit("all"))
+    kept, overridden = (ingest.merged_metadata(own, run, extra_wins) for extra_wins in (False, True))
+    return rows.select("rec_id", kept["dataset_id"].alias("kept"), overridden["dataset_id"].alias("overridden"), kept["rev"].alias("rev"))
+
+
+def _answers_sql() -> str:
+    raw = "coalesce(" + ", ".join(f"CASE WHEN json_type(v, '$.{k}') <> 'NULL' THEN json_extract(v, '$.{k}') END" for k in ("gold_answer", "gold_answers", "answers")) + ")"
+    each = f"CASE json_type(e) WHEN 'VARCHAR' THEN {_filled(_STRING.format('$').replace('(v', '(e'))} WHEN 'OBJECT' THEN {_no_junk(_STRING.format('$.text').replace('(v', '(e'))} END"
+    listed = f"CASE json_type(x) WHEN 'ARRAY' THEN list_filter(list_transform(json_extract(x, '$[*]'), lambda e: {each}), lambda e: e IS NOT NULL) WHEN 'VARCHAR' THEN list_filter([{_filled(_STRING.format('$').replace('(v', '(x'))}], lambda e: e IS NOT NULL) ELSE [] END"
+    other = "coalesce(" + ", ".join(f"CASE WHEN json_type(v, '$.{k}') = 'VARCHAR' THEN {_no_junk(_STRING.format('$.' + k))} END" for k in ingest.SAMPLE_ANSWER_KEYS) + ")"
+    return f"SELECT rec_id, array_to_string(CASE WHEN len(l) > 0 THEN list_filter(l, lambda e, i: list_position(l, e) = i) WHEN o IS NOT NULL THEN [o] ELSE [] END, ' | ') AS answers FROM (SELECT rec_id, {listed} AS l, o FROM (SELECT rec_id, {raw} AS x, {other} AS o FROM {_V}))"
+
+
+@query(_answers_sql())
+def sample_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of every raw record, whatever form they have."""
+    rows = table(spark, sf_dir, "raw_examples").select("rec_id", ingest.parsed(F.col("payload")).alias("v")).where("v is not null")
+    return rows.select("rec_id", F.array_join(ingest.answers_of(F.col("v")), " | ").alias("answers"))

@@ -7,6 +7,7 @@ import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that at least one in so many rows has is joined by broadcast.
+HOT_SHARE = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row per key and in ``weight`` how many rows of ``left`` have it.
+
+    Keys of at least one row in ``HOT_SHARE`` are at most so many, and are broadcast; the others are shuffled. ``total``
+    is the number of rows of ``left``.
+    """
+    is_hot = F.col(weight) * HOT_SHARE >= total
+    names = [c for c in right.columns if c not in (key, weight)]
+    met = left.join(F.broadcast(right.where(is_hot).select(key, F.struct(*names).alias("__hot"))), key, "left")
+    hot = met.where("__hot is not null").select(*left.columns, *(F.col("__hot")[c].alias(c) for c in names))
+    rest = met.where("__hot is null").select(*left.columns).join(right.where(~is_hot).select(key, *names), key, "left")
+    return hot.unionByName(rest.select(hot.columns))
+
+
 _TURNS = count(1)
 _turn = 0
 

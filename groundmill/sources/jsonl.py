@@ -42,10 +42,24 @@ def scan_counted(spark: SparkSession, path: str) -> tuple[DataFrame, Observation
     return rows.observe(seen, F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped")).where(ok), seen
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``line``: the place of each row in the order in which it is read, from 0. Only a count per partition is collected."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = lines.withColumns({"__part": F.spark_partition_id(), "__at": within})
+    counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg((F.max("__at") + 1).alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(counts):
+        starts.append((part, total))
+        total += counts[part]
+    offsets = lines.sparkSession.createDataFrame(starts, "__part int, __start bigint")
+    return placed.join(F.broadcast(offsets), "__part").withColumn("line", F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and text of a corpus file; the id under any of its usual keys."""
-    rows = scan_tolerant(spark, path)
-    return rows.select(truthy(F.col("v"), ["doc_id", "passage_id", "id"]).alias("doc_id"), text_at(F.col("v"), "title").alias("title"), text_at(F.col("v"), "text").alias("text")).where(filled(F.col("text")).isNotNull())
+    """doc_id, title and text of a corpus file; the id under any of its usual keys, else the number of its line."""
+    rows = _numbered(_lines(spark, path)).select("line", F.try_parse_json("value").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    identity = F.coalesce(truthy(F.col("v"), ["doc_id", "passage_id", "id"]), F.col("line").cast("string"))
+    return rows.select(identity.alias("doc_id"), text_at(F.col("v"), "title").alias("title"), text_at(F.col("v"), "text").alias("text")).where(filled(F.col("text")).isNotNull())
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = True) -> None:

@@ -32,5 +32,5 @@ def arrivals_by_day(raw: DataFrame, group_col: str, created_col: str, fetched_co
 
 
 def unified(raw: DataFrame, id_col: str, dataset_col: str, split_col: str, payload_col: str, time_col: str, delay: str = "30 days") -> DataFrame:
-    """Unified examples of a table or stream of raw records, each delivery once."""
-    return examples_of(delivered_once(raw, payload_col, time_col, delay), id_col, dataset_col, split_col, payload_col)
+    """Unified examples of a table or stream of raw records, each delivery once; records of other datasets are left out."""
+    return examples_of(delivered_once(raw, payload_col, time_col, delay), id_col, dataset_col, split_col, payload_col, unknown="skip")

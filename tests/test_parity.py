@@ -176,7 +176,7 @@ def test_adapters(spark):
         (7, "mirror/qampari", None, '{"query": "", "answers": "one"}'),
     ]
     df = spark.createDataFrame(rows, "rec_id int, dataset_id string, split string, payload string")
-    got = {r.id: (r.query, r.gold_answer, r.gold_claims, r.label) for r in ingest.examples_of(df, "rec_id", "dataset_id", "split", "payload").collect()}
+    got = {r.id: (r.query, r.gold_answer, r.gold_claims, r.label) for r in ingest.examples_of(df, "rec_id", "dataset_id", "split", "payload", unknown="skip").collect()}
     assert got == {1: ("q?", "a", None, None), 2: ("q", None, None, None), 3: ("q", None, ["a", "b"], None), 4: ("c", None, None, "SUPPORTS"), 7: ("", None, ["one"], None)}
 
 
