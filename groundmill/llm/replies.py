@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundmill.functions.text import strip
+from groundmill.functions.text import WS, strip
 from groundmill.llm.near import components, near_links
-from groundmill.llm.truncation import core, is_cut, join_hot, scored_answers
+from groundmill.llm.truncation import core, is_cut, scored_answers
 from groundmill.llm.words import WORD
-from groundmill.session import spread, table, written
+from groundmill.session import join_hot, spread, table, written
 
 #: A template recurs with prompts of so many kinds; the share of its prompts that one kind may have at most. The wording
 #: of a reply belongs to one kind of prompts, and only by chance to a stray one of another.
@@ -277,4 +277,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_defects(pairs, scored)
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs whose answer has no content: those of ``p2_found`` that SQL can tell."""
+    return _judged(pairs_of(spark, sf_dir)).where("empty").select("ord")
+
+
+QUERIES = {"p2_found": p2_found, "p2_empty": p2_empty}
+_WORDS = "regexp_extract_all(lower(coalesce(answer, '')), '[\\p{L}\\p{N}]+')"
+ORACLES = {
+    "p2_empty": f"""SELECT ord FROM phase1_gen_sample100 JOIN (SELECT DISTINCT example_id FROM examples WHERE query IS NOT NULL) ON example_id = regexp_replace(id, '^[{WS}]+|[{WS}]+$', '', 'g')
+WHERE array_to_string({_WORDS}, ' ') IN ('', {', '.join(f"'{p}'" for p in sorted(PLACEHOLDERS))})""",
+}

@@ -32,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundmill.session import generation, spread, table, written
+from groundmill.session import HOT_SHARE, generation, join_hot, spread, table, written
 
 DIMENSIONS = 1 << 16
 SAMPLE = 20_000
@@ -49,8 +49,6 @@ ITEM_CUT = 0.1
 #: What a prompt counts that is given back without its mark or by a label; for how many rows a whole text counts at most.
 CHANGED_PROMPT = 0.2
 MOST_COPIES = 100
-#: A key that at least one in so many rows has is joined by broadcast.
-HOT_SHARE = 10_000
 #: Characters at a text's end in which marks of a cut are looked for at once.
 TAIL = 200
 
@@ -323,19 +321,6 @@ def _named(df: DataFrame) -> Column:
     return F.concat("plain", graded, F.when(known >= 3, F.col("if_common")).otherwise(F.array().cast("array<string>")))
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """``left`` with the columns of ``right``, which has one row per key and in ``weight`` how many rows of ``left`` have it.
-
-    Keys of at least one row in ``HOT_SHARE`` are at most so many, and are broadcast; the others are shuffled.
-    """
-    is_hot = F.col(weight) * HOT_SHARE >= total
-    names = [c for c in right.columns if c not in (key, weight)]
-    met = left.join(F.broadcast(right.where(is_hot).select(key, F.struct(*names).alias("__hot"))), key, "left")
-    hot = met.where("__hot is not null").select(*left.columns, *(F.col("__hot")[c].alias(c) for c in names))
-    rest = met.where("__hot is null").select(*left.columns).join(right.where(~is_hot).select(key, *names), key, "left")
-    return hot.unionByName(rest.select(hot.columns))
-
-
 class Cuts(NamedTuple):
     """What a corpus has taught: the model (None if there was nothing to learn from), limits, words (word, seen)."""
 
@@ -492,4 +477,16 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("share", F.col("cut") / F.col("answers"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares}
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By table and model or mode: the answers, and whether the share of cut ones is that of the rows found."""
+    shares = p4_shares(spark, sf_dir)
+    rows = answers(spark, sf_dir).select("tbl", "source", "ord").join(p4_found(spark, sf_dir).distinct(), ["tbl", "ord"], "left_semi")
+    cut = rows.groupBy("tbl", F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("found"))
+    agree = (F.col("cut") == F.coalesce("found", F.lit(0))) & (F.col("share") == F.col("cut") / F.col("answers")) & F.col("share").between(0, 1)
+    return shares.withColumn("source", F.coalesce("source", F.lit("none"))).join(cut, ["tbl", "source"], "left").select("tbl", "source", "answers", agree.alias("agree"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p4_agreement": p4_agreement}
+ORACLES = {
+    "p4_agreement": " UNION ALL ".join(f"SELECT '{t}' AS tbl, coalesce({source}, 'none') AS source, count(*) AS answers, TRUE AS agree FROM {t} GROUP BY ALL" for t, source in PHASES.items()),
+}

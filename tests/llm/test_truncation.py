@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from groundmill import session
 from groundmill.llm import truncation
 from groundmill.llm.truncation import core, describe, score_cuts, whole_end
 
@@ -111,10 +112,10 @@ def test_closing_words_and_texts_in_a_third_of_the_rows(spark):
 
 
 def test_hot_keys_are_joined_like_others(spark, monkeypatch):
-    monkeypatch.setattr(truncation, "HOT_SHARE", 3)
+    monkeypatch.setattr(session, "HOT_SHARE", 3)
     left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(100)] + [(200, None)], "i int, k string")
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"), F.lit(None).cast("int").alias("none")).where("k <> 'k0'")
-    got = truncation.join_hot(left, right, "k", "n", left.count())
+    got = session.join_hot(left, right, "k", "n", left.count())
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, left.join(right.drop("n"), "k", "left").select("i", "k", "least", "none").collect()), key=repr)
 
 
