@@ -204,8 +204,9 @@ _LABELLED = _labelled_sql(_CANDS, _CLAIMS)
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = table(spark, sf_dir, "candidate_docs").where("claim_id is not null and doc_id is not null").groupBy("claim_id", "doc_id").agg(F.min("rank").alias("rank"))
+    once = written(once, "candidates")
     texts = written(_lookup(spark, sf_dir).select("doc_id", contexts.text_features(F.coalesce("text", F.lit(""))).alias("t")), "texts")
-    asked = written(_claims(spark, sf_dir).select("claim_id", contexts.claim_features(F.col("claim_text")).alias("c")), "claims")
+    asked = _claims(spark, sf_dir).select("claim_id", contexts.claim_features(F.col("claim_text")).alias("c"))
     counts = once.groupBy("doc_id").agg(F.count("*").alias("n"))
     pairs = join_hot(once, texts.join(counts, "doc_id"), "doc_id", "n", once.count()).join(asked, "claim_id")
     return pairs.select("claim_id", "doc_id", "rank", contexts.label_of(F.col("c"), F.col("t")).alias("label"))
