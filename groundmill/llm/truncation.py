@@ -366,7 +366,7 @@ def score_texts(texts: DataFrame, cuts: Cuts) -> DataFrame:
         columns = _described(*(batch.column(i).to_pylist() for i in (2, 3, 1)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "copies", "word", "own", "plain", "by_known", "if_common"])
 
-    known = written(_map(spread(_with_limits(texts, cuts.limits)), ["id", "copies", "text", "at_limit"], schema, read), "described")
+    known = written(_map(_with_limits(spread(texts), cuts.limits), ["id", "copies", "text", "at_limit"], schema, read), "described")
     closing = known.groupBy("word").agg(F.count("*").alias("closes"))
     seen = join_hot(known, closing.join(cuts.words, "word", "left"), "word", "closes", known.count())
     hashing = HashingTF(numFeatures=DIMENSIONS, inputCol="features", outputCol="hashed", binary=True)
@@ -392,7 +392,7 @@ def _fitted(texts: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
     """The regression, fitted on whole texts and on their artificial cuts; None if there are none to learn from."""
     n, rows = texts.agg(F.count("*"), F.sum("copies")).first()
     # Texts that recur so often that they are few are all learnt from.
-    bounded = _with_limits(texts.where(_below(F.col("text"), sample / max(1, n)) | (F.col("copies") * HOT_SHARE >= (rows or 0))), limits)
+    bounded = _with_limits(spread(texts.where(_below(F.col("text"), sample / max(1, n)) | (F.col("copies") * HOT_SHARE >= (rows or 0)))), limits)
     at = limits.where("unit = 'chars'").groupBy("source").agg(F.collect_set("length").alias("limits"))
     schema = f"label double, counts double, {_DESCRIBED}"
     names = ["label", "counts", "word", "own", "plain", "by_known", "if_common"]
@@ -416,7 +416,7 @@ def _fitted(texts: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
         rows = [(t, 0.0, False, 1.0 if t == text else CHANGED_PROMPT, 1) for text in batch.column(0).to_pylist() for bare in [text.rstrip(" ?")] for t in {text, bare, f"Question: {bare}"}]
         return labelled([r[0] for r in rows], rows)
 
-    training = _map(spread(bounded.join(F.broadcast(at), "source", "left")), ["text", "at_limit", "copies", "limits"], schema, label)
+    training = _map(bounded.join(F.broadcast(at), "source", "left"), ["text", "at_limit", "copies", "limits"], schema, label)
     if whole is not None:
         others = whole.where(_below(F.col("text"), sample / max(1, whole.count())))
         training = training.unionByName(_map(others, ["text"], schema, as_whole))
@@ -427,7 +427,7 @@ def _fitted(texts: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
         return None
     vectors = HashingTF(numFeatures=DIMENSIONS, inputCol="features", outputCol="hashed", binary=True).transform(named)
     # Without standardization, which would let a name that only one text has tell that text's label by heart.
-    return LogisticRegression(featuresCol="hashed", labelCol="label", weightCol="counts", standardization=False, maxIter=40, regParam=1e-4, aggregationDepth=2).fit(vectors.coalesce(8))
+    return LogisticRegression(featuresCol="hashed", labelCol="label", weightCol="counts", standardization=False, maxIter=40, regParam=1e-4, aggregationDepth=2).fit(vectors.coalesce(4))
 
 
 PHASES = {"phase1_gen_sample100": "model", "phase5_grounded_answers_sample100": "mode"}
