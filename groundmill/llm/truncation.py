@@ -427,7 +427,10 @@ def _fitted(texts: DataFrame, vocabulary: DataFrame, limits: DataFrame, sample:
         return None
     vectors = HashingTF(numFeatures=DIMENSIONS, inputCol="features", outputCol="hashed", binary=True).transform(named)
     # Without standardization, which would let a name that only one text has tell that text's label by heart.
-    return LogisticRegression(featuresCol="hashed", labelCol="label", weightCol="counts", standardization=False, maxIter=40, regParam=1e-4, aggregationDepth=2).fit(vectors.coalesce(4))
+    model = LogisticRegression(featuresCol="hashed", labelCol="label", weightCol="counts", standardization=False, maxIter=40, regParam=1e-4, aggregationDepth=2).fit(vectors.coalesce(4))
+    # The summary holds the session, which tasks cannot be sent once it has observed anything, and the training table.
+    model._java_obj.setSummary(texts.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 PHASES = {"phase1_gen_sample100": "model", "phase5_grounded_answers_sample100": "mode"}

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from groundmill import session
@@ -125,3 +126,14 @@ def test_what_one_table_teaches_serves_another(spark):
     cuts = truncation.fit_cuts(truncation.written(texts, "t"))
     other = spark.createDataFrame([(1, "t", "In 1843, the museum of Varno was opened by Qu"), (2, "t", "In 1843, the museum of Varno was opened by Arden Lindow near the bridge.")], "ord int, s string, a string")
     assert {r.ord: r.score > 0.5 for r in score_cuts(other, ["ord"], "a", "s", cuts=cuts).collect()} == {1: True, 2: False}
+
+
+def test_a_session_that_has_observed_something_scores_texts(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rng = random.Random(14)
+    texts = truncation.written(truncation.fold(spark.createDataFrame([("t", whole(rng)) for _ in range(400)], "s string, a string"), "a", "s"), "t")
+    cuts = truncation.fit_cuts(texts)
+    assert not cuts.model.hasSummary
+    assert truncation.written(truncation.score_texts(texts, cuts), "scored").count() == texts.count()
