@@ -1,7 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
+from groundmill import session
 from groundmill.llm import replies
 from groundmill.llm.replies import clauses, copies, find_defects, is_empty, other_language
 
@@ -103,3 +106,11 @@ def test_templates_about_the_prompt_may_name_a_variant_of_it(spark):
 def test_a_refusal_in_a_third_of_the_rows_and_an_id_with_most(spark):
     rows = [(i, "Who founded it?" if i % 4 else "When was it?", "I don't know." if i % 3 == 0 else f"It was {NAMES[i % 12]} of {NAMES[i % 11]}, in {1700 + i}.") for i in range(600)]
     assert found(spark, rows) == {i: {"refusal"} for i in range(0, 600, 3)}
+
+
+def test_found_in_a_session_that_has_observed_something(spark, sf):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    session.discard_written(spark)  # so that the model is fitted anew
+    assert replies.p2_found(spark, sf).where("defect = 'truncated'").count() > 0
