@@ -1,6 +1,7 @@
 """Keys that much of the rows have, and forms that the given tables do not show."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,47 @@ def test_backfill_draws_differ_by_position(spark):
             by.setdefault(r.claim_id, []).append(int(r.doc_id[1:]))
         assert len(rows) == 180 and (size < 6 or all(len(set(v)) == 6 for v in by.values()))
         assert size < 6 or len({tuple(b - a for a, b in zip(v, v[1:])) for v in map(sorted, by.values())}) > 20
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of the collected ``df`` wrote."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(f"d{i:03}", f"the word{i % 7}") for i in range(300)], "id string, text string")
+    queries = spark.createDataFrame([(q, f"the word{q % 7}") for q in range(100)], "q int, text string")
+    hits = retrieval.search(retrieval.build_index(docs, "id", "text"), queries, "q", "text", top=3)
+    assert len(hits.collect()) == 300
+    assert 0 < shuffled_rows(hits) < 5_000  # of 30 000 pairs
+
+
+def test_search_equals_a_plain_loop(spark):
+    texts = {f"d{i}": " ".join(f"t{(i * j) % 9}" for j in range(1 + i % 5)) for i in range(80)} | {"blank": " ", "none": None}
+    asked = [(q, f"t{q} T{q + 1} t{(q * q) % 9} zzz") for q in range(9)] + [(10, "zzz"), (11, None), (None, "t3")]
+    split = {d: t.split() for d, t in texts.items() if t and t.strip()}
+    average, want = sum(map(len, split.values())) / len(split), set()
+    for q, text in asked:
+        scores = {}
+        for term in set((text or "").lower().split()):
+            df = sum(term in words for words in split.values())
+            for d, words in split.items():
+                if tf := words.count(term):
+                    scores[d] = scores.get(d, 0) + math.log((len(split) - df + 0.5) / (df + 0.5) + 1) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len(words) / average))
+        best = sorted((-round(s, 6), d) for d, s in scores.items())[:7]
+        want |= {(q, d, -s, i) for i, (s, d) in enumerate(best, 1)}
+    index = retrieval.build_index(spark.createDataFrame(list(texts.items()), "id string, text string"), "id", "text")
+    queries = spark.createDataFrame(asked, "q int, text string")
+    for block, most in ((10**6, 10**6), (20, 10**6), (10**6, 5), (20, 5)):
+        assert {tuple(r) for r in retrieval.search(index, queries, "q", "text", top=7, block=block, asked=most).select("query_id", "doc_id", "score", "rank").collect()} == want
